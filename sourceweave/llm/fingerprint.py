@@ -32,7 +32,12 @@ def pair_hashes(text: Column) -> Column:
 
 def wide_lanes(text: Column) -> list[Column]:
     lines = F.split(text, "\n")
-    return [F.aggregate(lines, F.lit(0).cast("long"), lambda a, p, k=k: (a + F.xxhash64(F.lit(k), p).bitwiseAND(F.lit(2**32 - 1))).bitwiseAND(F.lit(2**32 - 1))) for k in range(WIDE)]
+    mod = F.lit(2**32 - 1)
+
+    def lane(k: int) -> Column:
+        return F.aggregate(lines, F.lit(0).cast("long"), lambda a, p: (a + F.xxhash64(F.lit(k), p).bitwiseAND(mod)).bitwiseAND(mod))
+
+    return [lane(k) for k in range(WIDE)]
 
 
 def lanes(sums: Column) -> Column:
@@ -52,7 +57,8 @@ def hexed(wide: Column, sums: Column, n: Column) -> Column:
 
 def likeness(a: Column, an: Column, b: Column, bn: Column) -> Column:
     """Cosine of the projections of two texts, 0 to 1; 1 for equal ones."""
-    x, y = (F.transform(lanes(s), lambda v, n=n: 2.0 * v - n) for s, n in ((a, an), (b, bn)))
+    centred = lambda s, n: F.transform(lanes(s), lambda v: 2.0 * v - n)
+    x, y = centred(a, an), centred(b, bn)
     dot = F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda t, v: t + v)
     square = lambda z: F.aggregate(z, F.lit(0.0), lambda t, v: t + v * v)
     norm = F.sqrt(square(x)) * F.sqrt(square(y))
@@ -109,11 +115,13 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 2000) -> DataFrame:
 
 def _place(x: Column, cuts: Column, n: int) -> Column:
     """How many cuts are x or less: a search by halving, written out as steps."""
-    at, step = F.lit(0), 1 << max(0, n.bit_length() - 1)
-    while step and n:
-        ahead = at + step
-        at = F.transform(F.array(at), lambda a, s=step: F.when((a + s <= n) & (F.get(cuts, a + s - 1) <= x), a + s).otherwise(a))[0]
-        step >>= 1
+
+    def ahead(at: Column, step: int) -> Column:
+        return F.transform(F.array(at), lambda a: F.when((a + step <= n) & (F.get(cuts, a + step - 1) <= x), a + step).otherwise(a))[0]
+
+    at = F.lit(0)
+    for k in range(n.bit_length() - 1, -1, -1):
+        at = ahead(at, 1 << k)
     return at
 
 
@@ -124,7 +132,7 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
     keep = size - F.floor(size / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), keep), F.substring("next_text", F.lit(1), F.floor(size / 4).cast("int")))
     texts = rows.select("bucket", "rn", "ghost", "doc_id", size.cast("long").alias("n_chars"), F.col("text").alias("t"), F.coalesce(edited, F.col("text")).alias("e"))
-    two = F.array(F.struct(F.lit(0).alias("kind"), F.col("t").alias("text"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(1), F.col("e"), F.sha2("e", 256)))
+    two = F.array(F.struct(F.lit(0).alias("kind"), F.col("t").alias("text"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(1).alias("kind"), F.col("e").alias("text"), F.sha2("e", 256).alias("sha")))
     each = texts.select("bucket", "rn", "ghost", "doc_id", "n_chars", F.explode(two).alias("x")).where("ghost = 0 OR x.kind = 0")
     each = each.select("bucket", "rn", "ghost", "doc_id", "n_chars", "x.kind", "x.text", "x.sha")
     made = fingerprints(each, ["bucket", "rn", "kind"], ["ghost", "doc_id", "n_chars", "sha"])
