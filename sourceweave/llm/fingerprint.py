@@ -74,11 +74,12 @@ def combine(a: DataFrame, b: DataFrame, sign: int = 1) -> DataFrame:
 
 def fingerprints(texts: DataFrame, keys: list[str], first: list[str] = ()) -> DataFrame:
     """texts: keys, which tell each row from others, text, and columns to carry (first). Adds n, wide, sums. The row's lines are read once for the wide lanes; its word pairs become rows that are summed before any exchange."""
-    pairs = texts.select(*keys, *first, F.array(*wide_lanes(F.col("text"))).alias("wide"), F.explode(pair_hashes(F.col("text"))).alias("h"))
+    read = texts.select(*keys, *first, *[c.alias(w) for c, w in zip(wide_lanes(F.col("text")), WIDES, strict=True)], "text")
+    pairs = read.select(*keys, *first, *WIDES, F.explode(pair_hashes(F.col("text"))).alias("h"))
     second = pairs.withColumn("g", F.xxhash64("h"))
     sums = [F.try_sum(F.shiftright(c, k).bitwiseAND(F.lit(MASK))).alias(SUMS[i * SHIFTS + k]) for i, c in enumerate(("h", "g")) for k in range(SHIFTS)]
-    made = second.groupBy(*keys, *first, "wide").agg(F.count("*").alias("n"), *sums)
-    return made.select(*keys, *first, "n", "wide", F.array(*[F.coalesce(s, F.lit(0).cast("long")) for s in SUMS]).alias("sums"))
+    made = second.groupBy(*keys, *first, *WIDES).agg(F.count("*").alias("n"), *sums)
+    return made.select(*keys, *first, "n", F.array(*WIDES).alias("wide"), F.array(*[F.coalesce(s, F.lit(0).cast("long")) for s in SUMS]).alias("sums"))
 
 
 def bounds(docs: DataFrame, buckets: int) -> list[int]:
