@@ -62,3 +62,43 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder, and reads on from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared checkpoint folder."""
+    import uuid
+
+    checkpoint_dir(spark)
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads on from there, so that lost executors repeat nothing before it."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Of links (a, b) of 64-bit nodes, not null: node and component, its smallest node. Nodes without links are absent.
+
+    Each round sends every node to its smallest neighbour and joins what met; the rounds, about as many as the logarithm of a component's
+    width, are chained afterwards. Rows are summed before each exchange.
+    """
+    left, maps = links.select("a", "b").where("a <> b").distinct(), []
+    while True:
+        both = left.union(left.select("b", "a")).toDF("v", "u")
+        step = stash(both.groupBy("v").agg(F.least("v", F.min("u")).alias("m")), "cc")
+        if step.isEmpty():
+            break
+        maps.append(step)
+        to = step.select(F.col("v").alias("a"), F.col("m").alias("ma"))
+        left = left.join(to, "a").join(to.toDF("b", "mb"), "b").select(F.col("ma").alias("a"), F.col("mb").alias("b")).where("a <> b").distinct()
+        left = stash(left, "cc")
+    if not maps:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+    out = maps[0].toDF("node", "component")
+    for step in maps[1:]:
+        out = out.join(step.toDF("component", "m"), "component", "left").select("node", F.coalesce("m", "component").alias("component"))
+    return out
