@@ -11,6 +11,7 @@ item_id is read as an empty string. Columns beyond doc_id, text, item_id are not
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, ranges
+from .common import hash_words, ranges, stash
 from .suffix import FMIndex
 
 WINDOW = 13
+#: The same words in a text that is not lower-cased.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes of benchmark text that one broadcast may hold; larger benchmarks run in as many blocks as needed.
 BLOCK_BYTES = 32_000_000
 SHARD_WORDS = 1_000_000
@@ -129,19 +132,19 @@ def search_shards(pat: Patterns):
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, spans (words hit, as maximal half-open ranges) and items (item_ids found)."""
+    """Per document: doc_id, row (a hash of it), n_words, spans (words hit, as maximal half-open ranges) and items (item_ids found)."""
     spark = docs.sparkSession
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     found = []
-    rows = docs.select("doc_id", F.lit(0).cast("long").alias("row"), "text") if blocks == 1 else docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     for b in range(blocks):
         own = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         pat = Patterns([(r.item_id, r.text) for r in own.collect()], window)
         found.append(rows.mapInArrow(search_shards(pat), SPANS))
     if blocks == 1:
-        return found[0].drop("row")
+        return found[0]
     whole = found[0]
     for x in found[1:]:
         whole = whole.unionByName(x)
@@ -151,17 +154,45 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         " THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'stop', greatest(element_at(a, -1).stop, s.stop)))) ELSE concat(a, array(s)) END)"
     )
     # rows that are equal in doc_id and text come back as many as they were
-    return merged.select("doc_id", "n_words", joined.alias("spans"), "items", F.explode(F.sequence(F.lit(1), (F.col("times") / blocks).cast("int")))).drop("col")
+    return merged.select("doc_id", "row", "n_words", joined.alias("spans"), "items", F.explode(F.sequence(F.lit(1), (F.col("times") / blocks).cast("int")))).drop("col")
+
+
+def decide(spans: DataFrame) -> DataFrame:
+    """Adds n_hit and contaminated: words are hit, and they are a twentieth of all or more."""
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return spans.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Without contaminated documents; from the others the hit words, with what stands between them, are cut. Columns stay; docs is read twice."""
+    hits = decide(contaminated_spans(docs, benchmark)).where("n_hit > 0").select("row", "spans", "contaminated").dropDuplicates(["row"])
+    names = docs.columns
+    keyed = docs.withColumn("row_", F.xxhash64("doc_id", "text"))
+    both = keyed.join(stash(hits, "hits").toDF("row__", "spans_", "bad_"), F.col("row_") == F.col("row__"), "left").where("bad_ IS NULL OR NOT bad_")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i, spans in enumerate(batch.column("spans_").to_pylist()):
+                if spans:
+                    word = [m.span() for m in WORD.finditer(texts[i])]
+                    at, out = 0, []
+                    for s in spans:
+                        out.append(texts[i][at : word[s["start"]][0]])
+                        at = word[s["stop"] - 1][1]
+                    texts[i] = "".join([*out, texts[i][at:]])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
+
+    return both.select(*names, "spans_").mapInArrow(cut, docs.schema)
 
 
 def report(spans: DataFrame) -> DataFrame:
     """The digest columns of contaminated_spans."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
-    return spans.select(
+    return decide(spans).select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
+        "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        "contaminated",
     )

@@ -271,13 +271,13 @@ def _block_search(judged: DataFrame, links: DataFrame, texts: DataFrame) -> Data
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+    """doc_id, row (a hash of the text), n_shingles, component_id and kept of every row."""
     base, links = near_links(docs)
     comps = components(stash(links, "links"))
     low = base.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
     named = low.join(comps.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = named.join(least, "component").select(F.col("cls").alias("c"), "component_id")
-    out = base.select("doc_id", "n_shingles", "cls").join(named, (F.col("cls") == F.col("c")) & (F.col("n_shingles") > 0), "left")
+    out = base.select("doc_id", "th", "n_shingles", "cls").join(named, (F.col("cls") == F.col("c")) & (F.col("n_shingles") > 0), "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id").eqNullSafe(own), F.lit(False)).alias("kept"))
+    return out.select("doc_id", F.col("th").alias("row"), "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id").eqNullSafe(own), F.lit(False)).alias("kept"))

@@ -47,7 +47,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).drop("row")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

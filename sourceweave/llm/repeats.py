@@ -302,6 +302,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return docs.alias("d").join(spans.alias("s"), same, "left").select("d.doc_id", "d.text", "s.spans").mapInArrow(remove, "doc_id long, kept binary, cuts array<struct<a:long,b:long>>")
 
 
+def clean(docs: DataFrame) -> DataFrame:
+    """docs with the repeated strings cut from text; a character that is cut in its middle goes whole. Columns stay."""
+    names = docs.columns
+    _, spans = repeated_spans(docs)
+    keyed = docs.withColumn("th_", F.xxhash64("text")).alias("d")
+    both = keyed.join(spans.toDF("id__", "th__", "spans_"), (F.col("th_") == F.col("th__")) & F.col("d.doc_id").eqNullSafe(F.col("id__")), "left").select(*[F.col(f"d.{n}") for n in names], F.col("spans_").alias("spans"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches, 4_000_000):
+            kept = next(remove(iter([batch.select(["doc_id", "text", "spans"])]))).column("kept").to_pylist()
+            texts = [None if t is None else k.decode("utf-8", "ignore") for k, t in zip(kept, batch.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
+
+    return both.mapInArrow(cut, docs.schema)
+
+
 def report(removed: DataFrame) -> DataFrame:
     gone = F.aggregate("cuts", F.lit(0).cast("long"), lambda t, x: t + x["b"] - x["a"])
     return removed.select("doc_id", (F.octet_length("kept") + gone).cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("cuts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
