@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontaminate, fingerprint, language, license, minhash, pieces, repeats, sql, tokens, urls
-from .common import table
+from .common import shared_folder, table
 
 
 def tokenizer(name: str) -> str:
@@ -31,7 +31,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = tokens.shared_folder(spark, "tokens")
+    out = shared_folder(spark, "tokens")
     tokens.write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"), out)
     return tokens.report(tokens.read_tokens(spark, out))
 

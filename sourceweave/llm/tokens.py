@@ -14,7 +14,7 @@ Null texts are empty: the end id alone. Null doc_ids come first. Repeated rows s
 from __future__ import annotations
 
 import os
-import uuid
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,44 +24,103 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir
-
 #: The published word pattern of byte-level BPE vocabularies (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space of the pattern, or of Python.
+WHITE = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: Pieces that keep their cut wherever they follow another.
+SPACED = re.compile(r" [^\W\d_]+\Z")
 END_ID = 0
-MEMORY = 400_000
 SCHEMA = "doc_id long, shard int, at long, n_tokens long, ids array<int>"
 
 
+class Memory:
+    """The last values of up to twice so many keys as size: when it is full, those that are not asked for again go first."""
+
+    def __init__(self, size: int, learn):
+        self.size, self.learn, self.now, self.old = size, learn, {}, {}
+
+    def joined(self, lists: list[list]) -> list[bytes]:
+        """The values of each list's keys, one after the other."""
+        out, late, missing = [], [], set()
+        get = self.now.__getitem__
+        for keys in lists:
+            try:
+                out.append(b"".join(map(get, keys)))
+            except KeyError:
+                late.append(len(out))
+                out.append(b"")
+                missing |= set(keys).difference(self.now)
+        if missing:
+            if len(self.now) + len(missing) > self.size:
+                self.old, self.now = self.now, {}
+                get = self.now.__getitem__
+                missing.update(*[lists[i] for i in late])
+            again = missing & self.old.keys()
+            self.now.update((k, self.old[k]) for k in again)
+            new = list(missing - again)
+            self.now.update(zip(new, self.learn(new), strict=True))
+            for i in late:
+                out[i] = b"".join(map(get, lists[i]))
+        return out
+
+
+def uneven(text: str) -> bool:
+    """Whether a blank stands beside white space or at an end: such texts are cut by the pattern alone."""
+    return text[:1] == " " or text[-1:] == " " or any(c in text and (c + " " in text or " " + c in text) for c in WHITE)
+
+
 class Encoder:
-    def __init__(self, path: str):
+    """Words after a single blank always begin a piece, so most texts are cut at blanks alone; pieces of words, and words, are remembered."""
+
+    def __init__(self, path: str, words: int = 500_000, pieces: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.find = regex.compile(PATTERN).findall
-        self.known: dict[str, bytes] = {}
+        self.pieces_of = regex.compile(PATTERN).findall
+        self.words = Memory(words, lambda new: self._learn_words([" " + w for w in new]))
+        self.pieces = Memory(pieces, self._learn_pieces)
+
+    def _learn_words(self, texts: list[str]) -> list[bytes]:
+        return self.pieces.joined([self.pieces_of(t) for t in texts])
+
+    def _learn_pieces(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces. Those that begin with a blank are encoded many at a time, as one text, and told apart by their words' numbers."""
+        out: dict[str, bytes] = {}
+        chain = [p for p in new if SPACED.match(p)]
+        for a in range(0, len(chain), 256):
+            part = chain[a : a + 256]
+            e = self.library.encode("".join(part), add_special_tokens=False)
+            ids, word = np.array(e.ids, "<u4"), np.array(e.word_ids)
+            ends = np.searchsorted(word, np.arange(len(part) + 1))
+            if word[-1] != len(part) - 1:
+                raise ValueError("the library cuts words in another way")
+            for k, p in enumerate(part):
+                out[p] = ids[ends[k] : ends[k + 1]].tobytes()
+        rest = [p for p in new if p not in out]
+        for p, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
+            out[p] = np.array(e.ids, "<u4").tobytes()
+        return [out[p] for p in new]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        known = self.known
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            pieces = self.find(text)
-            try:
-                out[i] = b"".join(map(known.__getitem__, pieces))
-            except KeyError:
-                new = list({p for p in pieces if p not in known})
-                for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, "<u4").tobytes()
-                out[i] = b"".join(map(known.__getitem__, pieces))
-        return out
+        heads, tails = [], []
+        for t in texts:
+            if any(s in t for s in self.special):
+                heads.append(t)
+                tails.append([])
+            elif uneven(t):
+                heads.append(self.pieces_of(t))
+                tails.append([])
+            else:
+                first, *words = t.split(" ")
+                heads.append(self.pieces_of(first))
+                tails.append(words)
+        head = iter(self.pieces.joined([h for h in heads if not isinstance(h, str)]))
+        begin = [np.array(self.library.encode(h, add_special_tokens=False).ids, "<u4").tobytes() if isinstance(h, str) else next(head) for h in heads]
+        return [a + b for a, b in zip(begin, self.words.joined(tails), strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -121,9 +180,3 @@ def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def report(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
-
-def shared_folder(spark, name: str) -> str:
-    """A new folder's path in the shared checkpoint folder."""
-    checkpoint_dir(spark)
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
