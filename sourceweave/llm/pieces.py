@@ -17,12 +17,15 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .memory import Memory
+
 BLANK = "▁"
 #: Characters joined into one indexed text, and parts that a worker remembers.
 INDEX_CHARS, MEMORY = 200_000, 500_000
@@ -44,13 +47,25 @@ class Vocabulary:
         self.names = np.array(sorted(self.plain), f"U{self.longest + 1}")
         self.name_ids = np.array([self.plain[p] for p in sorted(self.plain)], np.int64)
         self.joins = {p[k : k + 2] for p in self.plain for k in range(len(p) - 1)}
-        inside = {b for a, b in self.joins}
-        # a blank begins a part unless some piece has one after another character
-        free = not any(j[1] == BLANK and j[0] != BLANK for j in self.joins)
-        lone = "".join(c for c in ("\n", "\t", "\r") if c not in inside and not any(j[0] == c for j in self.joins))
-        self.cut = re.compile(f"[{re.escape(lone)}]|{BLANK}*[^{BLANK}{re.escape(lone)}]+|{BLANK}+" if free and lone else f"{BLANK}*[^{BLANK}]+|{BLANK}+" if free else r"(?s).+").findall
+        self.cut = re.compile(self._parts()).findall
         self.fits: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(MEMORY, self.learn_all)
+
+    def _parts(self) -> str:
+        """A pattern of parts between which no piece stands. Blanks begin a part if no piece has one after another character; so do line
+        breaks that no piece holds, and signs (characters that are no letters) that no piece has after a letter."""
+        if any(b == BLANK and a != BLANK for a, b in self.joins):
+            return r"(?s).+"
+        known = {c for j in self.joins for c in j}
+        lone = "".join(c for c in "\n\t\r" if c not in known)
+        signs = {c for c in known if not c.isalpha() and c != BLANK}
+        while bad := {b for a, b in self.joins if b in signs and a not in signs and a != BLANK}:
+            signs -= bad
+        lone, sign = re.escape(lone), re.escape("".join(sorted(signs)))
+        alone = f"[{lone}]|" if lone else ""
+        if not sign:
+            return f"{alone}{BLANK}*[^{BLANK}{lone}]+|{BLANK}+"
+        return f"{alone}{BLANK}*[^{BLANK}{lone}{sign}]+|{BLANK}*[{sign}][^{BLANK}{lone}]*|{BLANK}+"
 
     def merge(self, chars: list[str]) -> list[str]:
         """Plain merging: the best-scored neighbours first, the leftmost of equals."""
@@ -91,8 +106,18 @@ class Vocabulary:
         by = np.lexsort((start, end))
         return start[by], end[by], which[by]
 
-    def learn(self, parts: list[str]) -> None:
-        """Encodes parts, all over one index of their joined text, and remembers them."""
+    def learn_all(self, parts: list[str]) -> list[bytes]:
+        out, begin, held = [], 0, 0
+        for k, part in enumerate(parts):
+            held += len(part) + 1
+            if held >= INDEX_CHARS or k == len(parts) - 1:
+                out += self.learn(parts[begin : k + 1])
+                begin, held = k + 1, 0
+        return out
+
+    def learn(self, parts: list[str]) -> list[bytes]:
+        """Encodes parts, all over one index of their joined text."""
+        found = []
         text = "\0".join(parts)
         ends = np.cumsum([len(p) + 1 for p in parts])
         start, end, which = self.edges(text)
@@ -117,24 +142,13 @@ class Vocabulary:
                 s, name, i = kept[e - a]
                 out.append([i] if name is not None else [self.byte.get(b, self.unknown) for b in text[s:e].encode()] if self.byte else [self.unknown])
                 e = s
-            self.known[part] = np.array([i for x in reversed(out) for i in x], "<u4").tobytes()
+            found.append(array("I", [i for x in reversed(out) for i in x]).tobytes())
             a = stop + 1
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        cut = [self.cut(self.normalize(t)) if t else [] for t in texts]
-        new, held = [], 0
-        for part in {p for parts in cut for p in parts if p not in self.known}:
-            new.append(part)
-            held += len(part) + 1
-            if held >= INDEX_CHARS:
-                self.learn(new)
-                new, held = [], 0
-        if new:
-            self.learn(new)
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        return self.known.joined([self.cut(self.normalize(t)) if t else [] for t in texts])
 
     def decode(self, ids: list[int]) -> str:
         if not hasattr(self, "bytes_of"):
