@@ -76,14 +76,14 @@ class Reader:
                 body = self.t.body(surface, a, a + m.end())
                 if body:
                     self.region(*body)
+            elif kind[0] in "cm":
+                self.special(kind, name, loc, surface, a, m)
             elif normalize_id(name) == "":
                 continue
             elif kind[0] == "f":
                 self.calls(self.out.function(name, loc), self.span(surface, a, a + m.end()))
-            elif kind[0] == "t":
-                self.type(name, loc, self.t.body(surface, a, a + m.end()), m)
             else:
-                self.special(kind, name, loc, surface, a, m)
+                self.type(name, loc, self.t.body(surface, a, a + m.end()), m)
 
     def type(self, name: str, loc: str, body, m: re.Match) -> None:
         owner = self.out.type(name, loc)
