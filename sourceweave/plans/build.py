@@ -19,6 +19,7 @@ from ..extract.dispatch import extract_files, fragment_frame, rows
 from ..extract.terraform import complete_labels
 from ..functions.ids import norm_label_of, normalize_id_of
 from ..operators import cluster, graph, resolve
+from ..operators.traverse import level
 from ..schema import FRAGMENT, SCORES
 from ..sources import listing
 
@@ -132,15 +133,16 @@ def build(spark: SparkSession, root: str, with_manifests: bool = True, with_carg
     """The whole graph of the tree below root."""
     paths = listing.collect(root).files
     files = spark.createDataFrame([(p, i) for i, p in enumerate(paths)] or [], "path string, idx int")
-    found = fragments(spark, root, paths, with_manifests, with_cargo).persist()
-    return from_fragments(found, files, with_clusters, enrich)
+    return from_fragments(fragments(spark, root, paths, with_manifests, with_cargo), files, with_clusters, enrich)
 
 
 def from_fragments(found: DataFrame, files: DataFrame, with_clusters: bool = True, enrich=None) -> Graph:
-    nodes, edges = resolve_all(found, files)
+    """What is joined many times is written once: fragments, then nodes and edges before and after they are assembled."""
+    nodes, edges = map(level, resolve_all(level(found), level(files)))
     if enrich:
         nodes, edges = enrich(nodes, edges)
-    return finish(assemble(nodes, edges), with_clusters)
+    g = assemble(nodes, edges)
+    return finish(Graph(level(g.nodes), level(g.edges)), with_clusters)
 
 
 def git_head(root: str) -> str:
