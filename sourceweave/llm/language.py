@@ -181,8 +181,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             use = [i for i, t in enumerate(texts) if LETTER.search(t)] if known.langs else []
             pred, score, rate = [UND] * len(texts), [0.0] * len(texts), [None] * len(texts)
-            for a in range(0, len(use), 2000):
-                some = use[a : a + 2000]
+            for a in range(0, len(use), 200):
+                some = use[a : a + 200]
                 raw = [texts[i].encode("utf-8", "replace") for i in some]
                 bits = known.bits(raw)
                 best = bits.argmin(1)

@@ -28,7 +28,7 @@ from .memory import Memory
 
 BLANK = "▁"
 #: Characters joined into one indexed text, and parts that a worker remembers.
-INDEX_CHARS, MEMORY = 200_000, 500_000
+INDEX_CHARS, MEMORY = 200_000, 300_000
 
 
 class Vocabulary:
@@ -80,7 +80,7 @@ class Vocabulary:
     def follows(self, a: str, b: str) -> bool:
         key = (a, b)
         if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 600_000:
                 self.fits.clear()
             known = self.fits[key] = self.merge([*a, *b]) == [a, b]
         return known

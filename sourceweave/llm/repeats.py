@@ -39,7 +39,7 @@ V = ROOT * ROOT
 COVER = np.array(sorted({*range(ROOT), *(ROOT * k - 1 for k in range(2, ROOT + 1))}))
 _NEXT = np.array([min((c - r) % V for c in COVER) for r in range(V)])
 _LAST = np.array([min((r - c) % V for c in COVER) for r in range(V)])
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 POS = 28
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -94,7 +94,7 @@ def runs(data: np.ndarray, first: np.ndarray, length: int = LENGTH, gram: int =
     return {"doc": doc, "s": s, "e": e, "p": p, "h": g[p], "c": c}
 
 
-def _parts(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Batches of whole rows, with about so many bytes of text."""
     for batch in batches:
         _, off = utf8(batch.column("text"))
@@ -247,7 +247,7 @@ def hash_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds kept (bytes) and cuts (maximal removed ranges) to rows of doc_id, text and starts, stops (of repeated strings)."""
-    for batch in _parts(batches, 4_000_000):
+    for batch in _parts(batches):
         kept, cuts = [], []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             raw = (text or "").encode()
@@ -310,7 +310,7 @@ def clean(docs: DataFrame) -> DataFrame:
     both = keyed.join(spans.toDF("id__", "th__", "spans_"), (F.col("th_") == F.col("th__")) & F.col("d.doc_id").eqNullSafe(F.col("id__")), "left").select(*[F.col(f"d.{n}") for n in names], F.col("spans_").alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches, 4_000_000):
+        for batch in _parts(batches):
             kept = next(remove(iter([batch.select(["doc_id", "text", "spans"])]))).column("kept").to_pylist()
             texts = [None if t is None else k.decode("utf-8", "ignore") for k, t in zip(kept, batch.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
