@@ -97,17 +97,24 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def encoder(path: str) -> Encoder:
+    """The worker's own, which later tasks find again."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def encode_shards(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = _ENCODERS.setdefault(path, None) or _ENCODERS.__setitem__(path, Encoder(path)) or _ENCODERS[path]
+        encode = encoder(path)
         shard, at = TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
-                ids = [x + end for x in encoder([t or "" for t in batch.column("text").to_pylist()])]
+                ids = [x + end for x in encode([t or "" for t in batch.column("text").to_pylist()])]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 places = at + np.concatenate(([0], np.cumsum(n)[:-1]))
                 at += int(n.sum())
