@@ -408,7 +408,7 @@ def community_overlap(spark, d):
     return cluster.overlap(n.select(F.col("community").cast("long").alias("community"), "id"), n.select((F.col("seq") % 25).alias("community"), "id"))
 
 
-@query("make_id", "SELECT event_id, lower(trim(regexp_replace(array_to_string(list_filter([trim(event_type, '_.'), trim(' Mod' || user_id || '.py()', '_.')], x -> x <> ''), '_'), '[^A-Za-z0-9]+', '_', 'g'), '_')) AS id FROM events")
+@query("make_id", "SELECT event_id, lower(trim(regexp_replace(trim(event_type, '_.') || '_' || trim(' Mod' || user_id || '.py()', '_.'), '[^A-Za-z0-9]+', '_', 'g'), '_')) AS id FROM events")
 def make_id(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.select("event_id", make_id_ascii(F.col("event_type"), F.concat(F.lit(" Mod"), F.col("user_id").cast("string"), F.lit(".py()"))).alias("id"))
