@@ -5,13 +5,14 @@ classes. Each class has M registers: the smallest of the set's values under each
 of an exponential distribution, on an exponential scale truncated to 16 bits (registers of unions are maxima, so sketches
 merge). Runs of R registers are band keys.
 
-1. Each band bucket links its members to a few leaders (smallest by three orders), never to one another, so a bucket of n
-   gives 3n pairs. Likelihood over the registers and the two set sizes estimates the similarity of a pair; what stays
-   below NEAR, far under the threshold, goes.
+1. Buckets of two give a pair; likelihood over the registers and the two set sizes estimates its similarity; what stays
+   below NEAR, far under the threshold, goes. In larger buckets every row is compared with all of about its size that no row
+   before has reached, and links to those whose registers agree in the share NEAR: as few pairs as join all that are near.
+   Buckets of over SPLIT rows are compared in blocks. Buckets of the same rows are looked at once.
 2. The rest is confirmed on full sets: intersection and union are counted.
 3. Pairs under the threshold also join their documents to one family. In families of more than one component, all
    documents of different components are compared on full sets, in blocks of BLOCK by BLOCK documents: blocks of the
-   largest component meet only blocks of the others. That finds links that no leader had.
+   largest component meet only blocks of the others. That finds links that no pair of step 1 had.
 4. Components of links are joined by repeated contraction; nothing is collected.
 
 Null and empty texts and texts of blanks have empty sets, link with nothing and are kept. Rows with a null doc_id take
@@ -33,7 +34,7 @@ from .common import LOWER_TABLE, components, stash
 WORDS, M, R = 5, 96, 4
 #: Similarity as a ratio: intersection * DEN >= union * NUM.
 NUM, DEN = 85, 100
-NEAR, BLOCK = 0.68, 256
+NEAR, BLOCK, SPLIT = 0.65, 256, 4096
 BASE, RATE = 1.001, 20.0
 _RNG = np.random.default_rng(7)
 _BYTE = _RNG.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -161,6 +162,53 @@ def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(good)
 
 
+def spanning(n: np.ndarray, regs: np.ndarray) -> list[tuple[int, int]]:
+    """Of rows in the order of their set sizes n: as few pairs (reached from, reached) as join all that are near."""
+    left, rest, size, out = np.arange(len(n)), np.ascontiguousarray(regs.T), n, []
+    queue: list[int] = []
+    while len(left):
+        if not queue:
+            queue.append(int(left[0]))
+            left, rest, size = left[1:], rest[:, 1:], size[1:]
+        u = queue.pop(0)
+        lo, hi = np.searchsorted(size, NEAR * n[u]), np.searchsorted(size, n[u] / NEAR, "right")
+        same = np.add.reduce((rest[:, lo:hi] == regs[u][:, None]).view(np.uint8), axis=0, dtype=np.uint8)
+        hit = np.flatnonzero(same >= NEAR * M) + lo
+        if len(hit):
+            found = left[hit].tolist()
+            out += [(u, v) for v in found]
+            queue += found
+            keep = np.ones(len(left), bool)
+            keep[hit] = False
+            left, rest, size = left[keep], rest[:, keep], size[keep]
+    return out
+
+
+def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket (band, i, j), n and cls: the pairs that span what is near in each bucket."""
+    held: pa.RecordBatch | None = None
+
+    def pairs(batch: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
+        cls, n = (batch.column(c).to_numpy() for c in ("cls", "n"))
+        regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, M)
+        out = [(a + v, a + u) for a, b in zip(cuts[:-1], cuts[1:], strict=True) for u, v in spanning(n[a:b], regs[a:b])]
+        at = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(cls[at[:, 0]]), pa.array(cls[at[:, 1]])], ["a", "b"])
+
+    for batch in batches:
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")])
+        cuts = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1))
+        if len(cuts) > 1:
+            yield pairs(batch.slice(0, int(cuts[-1])), cuts)
+        held = batch.slice(int(cuts[-1]))  # the last bucket may go on
+    if held is not None:
+        yield pairs(held, np.array([0, held.num_rows]))
+
+
 def linked(common: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return DEN * common >= NUM * (na + nb - common)
 
@@ -232,14 +280,12 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = (F.col("h.doc_id").eqNullSafe(F.col("o.doc_id"))) & (F.col("h.th") == F.col("o.th"))
     heads = stash(heads.alias("h").join(own.alias("o"), same & (F.col("h.cls") == F.col("o.c"))).select("h.cls", "h.n", "h.doc_id", "h.th", "o.regs").dropDuplicates(["cls"]), "heads")
     keys = heads.select("cls", "regs").mapInArrow(bands, "cls long, band long")
-    orders = [F.min("cls"), F.min_by("cls", F.xxhash64(F.lit(1), "cls")), F.min_by("cls", F.xxhash64(F.lit(2), "cls"))]
-    leaders = keys.groupBy("band").agg(F.count("*").alias("k"), *[o.alias(f"l{i}") for i, o in enumerate(orders)]).where("k > 1")
-    pairs = keys.join(leaders, "band").select("cls", F.explode(F.array("l0", "l1", "l2")).alias("b")).where("cls <> b")
-    pairs = pairs.select(F.least("cls", "b").alias("x"), F.greatest("cls", "b").alias("y"), F.col("b").alias("lead")).groupBy("x", "y").agg(F.min("lead").alias("b"))
-    pairs = pairs.select(F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), "b")
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "cls")).alias(f"m{k}") for k in (0, 1)]
+    buckets = keys.groupBy("band").agg(F.count("*").alias("k"), F.min("cls").alias("a"), F.max("cls").alias("b"), *marks).where("k > 1")
+    buckets = stash(buckets.groupBy("k", "a", "b", "m0", "m1").agg(F.min("band").alias("band")), "buckets")
     side = heads.select("cls", "n", "regs")
-    both = pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b")
-    close = stash(both.mapInArrow(screen, "a long, b long"), "pairs")
+    both = buckets.where("k = 2").select("a", "b").join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b")
+    close = stash(both.mapInArrow(screen, "a long, b long").unionByName(_bucket_search(keys, buckets, side)).distinct(), "pairs")
     nodes = close.select(F.col("a").alias("cls")).union(close.select("b")).distinct().join(heads.select("cls", "doc_id", "th"), "cls")
     texts = stash(nodes.alias("x").join(docs.alias("d"), (F.col("x.th") == F.col("d.th")) & F.col("x.doc_id").eqNullSafe(F.col("d.doc_id"))).select("x.cls", "d.text").dropDuplicates(["cls"]), "texts")
     ready = close.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
@@ -248,6 +294,18 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return base, links.unionByName(_block_search(judged, links, texts))
 
 
+def _bucket_search(keys: DataFrame, buckets: DataFrame, side: DataFrame) -> DataFrame:
+    """The pairs (a, b) of buckets of more than two rows."""
+    rows = keys.join(buckets.where("k > 2").select("band", "k"), "band")
+    parts = F.when(F.col("k") <= SPLIT, 1).otherwise(F.ceil(2 * F.col("k") / SPLIT)).cast("long")
+    rows = rows.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64(F.lit(2), "cls"), F.col("parts")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: (j != F.col("mine")) | (F.col("parts") == 1))
+    slots = F.transform(others, lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
+    rows = rows.select("band", "cls", F.explode(slots).alias("s")).select("band", "s.i", "s.j", "cls").join(side, "cls")
+    dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "n", "cls")
+    return dealt.select("band", "i", "j", "cls", "n", "regs").mapInArrow(bucket_pairs, "a long, b long")
+
+
 def _block_search(judged: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
     comps = components(links)
     families = components(judged.select("a", "b"))

@@ -125,6 +125,27 @@ def test_near_duplicates(spark, empty, block, monkeypatch):
         assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_among_hosts(spark):
+    """Two edited copies of a passage link although thousands of longer documents, none near, fill their buckets."""
+    r = random.Random(11)
+    made = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    hosts, edited = [], []
+    for _ in range(3):
+        passage = made(60)
+        hosts += [" ".join(made(35) + passage) for _ in range(4000)]
+        edited += [" ".join(["x", *passage[1:]]), " ".join([*passage[:-1], "x"])]
+    df = spark.createDataFrame(list(enumerate(hosts + edited)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert got == {i: i - (i >= len(hosts) and i % 2) for i in range(len(hosts) + 6)}
+
+
+@pytest.mark.parametrize("split", [minhash.SPLIT, 4])
+def test_bucket_pairs_join_what_is_near(spark, split, monkeypatch):
+    monkeypatch.setattr(minhash, "SPLIT", split)
+    df = spark.createDataFrame(list(enumerate(near_texts())), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()} == brute_components([r.text for r in df.orderBy("doc_id").collect()])
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (8, 7), (1, 1), (7, 6)], "a long, b long")
     assert {r.node: r.component for r in components(links).collect()} == {3: 3, 4: 3, 5: 3, 9: 3, 6: 6, 7: 6, 8: 6}
