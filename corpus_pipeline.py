@@ -17,6 +17,8 @@ from sourceweave.llm.queries import tokenizer
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Code bits a byte from which on no language explains a text better than bare bytes.
 RAW_BITS = 8.0
+#: Near duplicates share this many hundredths of their shingles or more.
+SIMILAR = 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays."""
     docs = docs.select(*DOCUMENTS)
-    kept = minhash.near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row")).distinct()
+    kept = minhash.near_duplicates(docs.select("doc_id", "text"), SIMILAR).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row")).distinct()
     own = docs.withColumn("row_", F.xxhash64("text"))
     return own.join(kept, (F.col("row_") == F.col("kept_row")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*DOCUMENTS)
 

@@ -6,8 +6,8 @@ of an exponential distribution, on an exponential scale truncated to 16 bits (re
 merge). Runs of R registers are band keys.
 
 1. Buckets of two give a pair; likelihood over the registers and the two set sizes estimates its similarity; what stays
-   below NEAR, far under the threshold, goes. In larger buckets every row is compared with all of about its size that no row
-   before has reached, and links to those whose registers agree in the share NEAR: as few pairs as join all that are near.
+   below near(), far under the threshold, goes. In larger buckets every row is compared with all of about its size that no row
+   before has reached, and links to those whose registers agree in the share near(): as few pairs as join all that are near.
    Buckets of over SPLIT rows are compared in blocks. Buckets of the same rows are looked at once.
 2. The rest is confirmed on full sets: intersection and union are counted.
 3. Pairs under the threshold also join their documents to one family. In families of more than one component, all
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import LOWER_TABLE, components, stash
 
 WORDS, M, R = 5, 96, 4
-#: Similarity as a ratio: intersection * DEN >= union * NUM.
+#: Similarity as a ratio: intersection * DEN >= union * num; NUM is op7's, other callers give their own.
 NUM, DEN = 85, 100
-NEAR, BLOCK, SPLIT = 0.65, 256, 4096
+BLOCK, SPLIT = 256, 4096
 BASE, RATE = 1.001, 20.0
 _RNG = np.random.default_rng(7)
 _BYTE = _RNG.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,6 +44,11 @@ _PLACE = _RNG.integers(1, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def near(num: int) -> float:
+    """The estimate from which on a pair is looked at: one of num / DEN falls below it with a probability of 3e-6 (80) or 6e-7 (85)."""
+    return num / DEN - 0.2
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -153,16 +158,16 @@ def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("cls").to_numpy(), M // R)), pa.array(key.ravel().view(np.int64))], ["cls", "band"])
 
 
-def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose estimated similarity is NEAR or more."""
+def screen(batches: Iterator[pa.RecordBatch], num: int = NUM) -> Iterator[pa.RecordBatch]:
+    """Keeps the pairs whose estimated similarity is near() or more."""
     for batch in _parts(batches, 20_000):
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
         na, nb = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-        good = pa.array(estimate(a, b, na, nb) >= NEAR)
+        good = pa.array(estimate(a, b, na, nb) >= near(num))
         yield batch.select(["a", "b"]).filter(good)
 
 
-def spanning(n: np.ndarray, regs: np.ndarray) -> list[tuple[int, int]]:
+def spanning(n: np.ndarray, regs: np.ndarray, share: float) -> list[tuple[int, int]]:
     """Of rows in the order of their set sizes n: as few pairs (reached from, reached) as join all that are near."""
     left, rest, size, out = np.arange(len(n)), np.ascontiguousarray(regs.T), n, []
     queue: list[int] = []
@@ -171,9 +176,9 @@ def spanning(n: np.ndarray, regs: np.ndarray) -> list[tuple[int, int]]:
             queue.append(int(left[0]))
             left, rest, size = left[1:], rest[:, 1:], size[1:]
         u = queue.pop(0)
-        lo, hi = np.searchsorted(size, NEAR * n[u]), np.searchsorted(size, n[u] / NEAR, "right")
+        lo, hi = np.searchsorted(size, share * n[u]), np.searchsorted(size, n[u] / share, "right")
         same = np.add.reduce((rest[:, lo:hi] == regs[u][:, None]).view(np.uint8), axis=0, dtype=np.uint8)
-        hit = np.flatnonzero(same >= NEAR * M) + lo
+        hit = np.flatnonzero(same >= share * M) + lo
         if len(hit):
             found = left[hit].tolist()
             out += [(u, v) for v in found]
@@ -184,14 +189,14 @@ def spanning(n: np.ndarray, regs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def bucket_pairs(batches: Iterator[pa.RecordBatch], num: int = NUM) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by bucket (band, i, j), n and cls: the pairs that span what is near in each bucket."""
     held: pa.RecordBatch | None = None
 
     def pairs(batch: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
         cls, n = (batch.column(c).to_numpy() for c in ("cls", "n"))
         regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, M)
-        out = [(a + v, a + u) for a, b in zip(cuts[:-1], cuts[1:], strict=True) for u, v in spanning(n[a:b], regs[a:b])]
+        out = [(a + v, a + u) for a, b in zip(cuts[:-1], cuts[1:], strict=True) for u, v in spanning(n[a:b], regs[a:b], near(num))]
         at = np.array(out, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(cls[at[:, 0]]), pa.array(cls[at[:, 1]])], ["a", "b"])
 
@@ -209,11 +214,11 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(held, np.array([0, held.num_rows]))
 
 
-def linked(common: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    return DEN * common >= NUM * (na + nb - common)
+def linked(common: np.ndarray, na: np.ndarray, nb: np.ndarray, num: int = NUM) -> np.ndarray:
+    return DEN * common >= num * (na + nb - common)
 
 
-def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def confirm(batches: Iterator[pa.RecordBatch], num: int = NUM) -> Iterator[pa.RecordBatch]:
     """Of pairs with both texts: whether their full sets link."""
     last, held = None, None
     for batch in _parts(batches, 500):
@@ -227,11 +232,11 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = ha[off[i] : off[i + 1]]
             at = np.searchsorted(held, own)
             common = int((held[np.minimum(at, len(held) - 1)] == own).sum()) if len(held) else 0
-            good.append(bool(linked(common, len(own), len(held))))
+            good.append(bool(linked(common, len(own), len(held), num)))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "linked"])
 
 
-def block_links(table: pa.Table) -> pa.Table:
+def block_links(table: pa.Table, num: int = NUM) -> pa.Table:
     """Of a block's documents (cls, comp, side, text): links between different components, as few as join what links."""
     cls, comp, side = (table.column(c).to_numpy() for c in ("cls", "comp", "side"))
     texts = [(t or "").encode() for t in table.column("text").to_pylist()]
@@ -250,7 +255,7 @@ def block_links(table: pa.Table) -> pa.Table:
         one = np.zeros((len(texts), 4096), np.float32)
         one[doc[lo:hi], number[lo:hi] - a] = 1
         common += one @ one.T
-    good = linked(common.astype(np.int64), n[:, None], n[None, :]) & (comp[:, None] != comp[None, :])
+    good = linked(common.astype(np.int64), n[:, None], n[None, :], num) & (comp[:, None] != comp[None, :])
     root = np.arange(len(texts))
 
     def find(i: int) -> int:
@@ -268,7 +273,7 @@ def block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
-def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_links(docs: DataFrame, num: int = NUM) -> tuple[DataFrame, DataFrame]:
     """base: doc_id, th, n_shingles, cls of every row; links between classes (a, b)."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     base = stash(docs.mapInArrow(sketch, "doc_id long, th long, n_shingles long, cls long, regs binary"), "sketch")
@@ -285,16 +290,16 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = stash(buckets.groupBy("k", "a", "b", "m0", "m1").agg(F.min("band").alias("band")), "buckets")
     side = heads.select("cls", "n", "regs")
     both = buckets.where("k = 2").select("a", "b").join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b")
-    close = stash(both.mapInArrow(screen, "a long, b long").unionByName(_bucket_search(keys, buckets, side)).distinct(), "pairs")
+    close = stash(both.mapInArrow(lambda x: screen(x, num), "a long, b long").unionByName(_bucket_search(keys, buckets, side, num)).distinct(), "pairs")
     nodes = close.select(F.col("a").alias("cls")).union(close.select("b")).distinct().join(heads.select("cls", "doc_id", "th"), "cls")
     texts = stash(nodes.alias("x").join(docs.alias("d"), (F.col("x.th") == F.col("d.th")) & F.col("x.doc_id").eqNullSafe(F.col("d.doc_id"))).select("x.cls", "d.text").dropDuplicates(["cls"]), "texts")
     ready = close.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    judged = stash(ready.mapInArrow(confirm, "a long, b long, linked boolean"), "judged")
+    judged = stash(ready.mapInArrow(lambda x: confirm(x, num), "a long, b long, linked boolean"), "judged")
     links = judged.where("linked").select("a", "b")
-    return base, links.unionByName(_block_search(judged, links, texts))
+    return base, links.unionByName(_block_search(judged, links, texts, num))
 
 
-def _bucket_search(keys: DataFrame, buckets: DataFrame, side: DataFrame) -> DataFrame:
+def _bucket_search(keys: DataFrame, buckets: DataFrame, side: DataFrame, num: int) -> DataFrame:
     """The pairs (a, b) of buckets of more than two rows."""
     rows = keys.join(buckets.where("k > 2").select("band", "k"), "band")
     parts = F.when(F.col("k") <= SPLIT, 1).otherwise(F.ceil(2 * F.col("k") / SPLIT)).cast("long")
@@ -303,10 +308,10 @@ def _bucket_search(keys: DataFrame, buckets: DataFrame, side: DataFrame) -> Data
     slots = F.transform(others, lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
     rows = rows.select("band", "cls", F.explode(slots).alias("s")).select("band", "s.i", "s.j", "cls").join(side, "cls")
     dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "n", "cls")
-    return dealt.select("band", "i", "j", "cls", "n", "regs").mapInArrow(bucket_pairs, "a long, b long")
+    return dealt.select("band", "i", "j", "cls", "n", "regs").mapInArrow(lambda x: bucket_pairs(x, num), "a long, b long")
 
 
-def _block_search(judged: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+def _block_search(judged: DataFrame, links: DataFrame, texts: DataFrame, num: int) -> DataFrame:
     comps = components(links)
     families = components(judged.select("a", "b"))
     member = families.toDF("cls", "family").join(comps.toDF("cls", "comp"), "cls", "left").select("cls", "family", F.coalesce("comp", "cls").alias("comp"))
@@ -325,12 +330,12 @@ def _block_search(judged: DataFrame, links: DataFrame, texts: DataFrame) -> Data
     )
     rows = open_.select("cls", "family", "comp", F.col("in_core").alias("side"), F.explode(slots).alias("s")).select("cls", "family", "comp", "side", "s.i", "s.j")
     ready = rows.join(texts, "cls")
-    return ready.groupBy("family", "i", "j").applyInArrow(block_links, "a long, b long")
+    return ready.groupBy("family", "i", "j").applyInArrow(lambda t: block_links(t, num), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of the text), n_shingles, component_id and kept of every row."""
-    base, links = near_links(docs)
+def near_duplicates(docs: DataFrame, num: int = NUM) -> DataFrame:
+    """doc_id, row (a hash of the text), n_shingles, component_id and kept of every row. Pairs link from a similarity of num / DEN on."""
+    base, links = near_links(docs, num)
     comps = components(stash(links, "links"))
     low = base.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
     named = low.join(comps.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

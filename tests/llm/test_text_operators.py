@@ -146,6 +146,17 @@ def test_bucket_pairs_join_what_is_near(spark, split, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()} == brute_components([r.text for r in df.orderBy("doc_id").collect()])
 
 
+def test_pipeline_links_from_080_on(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(104)]
+    texts = [" ".join(words), " ".join([*words[:91], *[f"v{k}" for k in range(10)]])]  # 87 of 110 shingles: 0.79
+    texts += [" ".join(w.upper() + "q" for w in words), " ".join([*[w + "q" for w in words[:94]], *[f"z{k}" for k in range(10)]])]  # 90 of 110: 0.82
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()} == {0, 1, 2}
+    assert minhash.near_duplicates(df).where("kept").count() == 4
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (8, 7), (1, 1), (7, 6)], "a long, b long")
     assert {r.node: r.component for r in components(links).collect()} == {3: 3, 4: 3, 5: 3, 9: 3, 6: 6, 7: 6, 8: 6}
