@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +43,16 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
+def byte_parts(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about so many bytes of text, one row at least."""
+    _, off = utf8(batch.column("text"))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """start, start+1, ... for each start, one after the other."""
     counts = np.asarray(counts, np.int64)

@@ -1,34 +1,68 @@
-"""What a worker remembers between texts."""
+"""What a worker remembers between texts, and what it forgets when another operator begins."""
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+
+from .common import ranges
+
 
 class Memory:
-    """The last values of up to twice so many keys as size: when it is full, those that are not asked for again go first."""
-
-    def __init__(self, size: int, learn):
-        self.size, self.learn, self.now, self.old = size, learn, {}, {}
-
-    def joined(self, lists: list[list]) -> list[bytes]:
-        """The values of each list's keys, one after the other."""
-        out, late, missing = [], [], set()
-        get = self.now.__getitem__
-        for keys in lists:
-            try:
-                out.append(b"".join(map(get, keys)))
-            except KeyError:
-                late.append(len(out))
-                out.append(b"")
-                missing |= set(keys).difference(self.now)
-        if missing:
-            if len(self.now) + len(missing) > self.size:
-                self.old, self.now = self.now, {}
-                get = self.now.__getitem__
-                missing.update(*[lists[i] for i in late])
-            again = missing & self.old.keys()
-            self.now.update((k, self.old[k]) for k in again)
-            new = list(missing - again)
-            self.now.update(zip(new, self.learn(new), strict=True))
-            for i in late:
-                out[i] = b"".join(map(get, lists[i]))
-        return out
+    """Values of byte strings, each some 32-bit integers, that are learned when a string is first met; a full memory forgets all.
+
+    learn: gives the values of strings, one after the other, and how many each has.
+    """
+
+    def __init__(self, size: int, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
+        self.size, self.learn = size, learn
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.flat, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def values(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the strings between neighbouring cuts of data: all their values, one after the other, and how many each has."""
+        strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(data)])
+        coded = strings.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.number) + len(distinct) > self.size:
+            self.forget()
+        get = self.number.get
+        at = np.fromiter((get(s, -1) for s in distinct), np.int64, len(distinct))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [distinct[i] for i in missing.tolist()]
+            flat, counts = self.learn(new)
+            at[missing] = np.arange(len(self.number), len(self.number) + len(new))
+            self.number.update(zip(new, at[missing].tolist(), strict=True))
+            self.flat = np.concatenate((self.flat, flat)).astype(np.int32)
+            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(counts)))
+        at = at[coded.indices.to_numpy()]
+        counts = self.first[at + 1] - self.first[at]
+        return self.flat[ranges(self.first[at], counts)], counts
+
+
+_OWN: dict[str, object] = {}
+
+
+def claim(key: str, make: Callable[[], object]) -> object:
+    """The worker's one object of this key, which later tasks of the same operator find again. What other operators left goes first."""
+    if key not in _OWN:
+        release()
+        _OWN[key] = make()
+    return _OWN[key]
+
+
+def release() -> None:
+    """Gives memory that is no longer used back to the machine."""
+    _OWN.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -5,8 +5,9 @@ shards; a task encodes its documents and writes one file: stripes of run-length
 Bloom filter on doc_id, so stripes are read in parallel and most are skipped when few documents are asked for. Shard
 totals, one row for each shard, give the place of every document in the whole.
 
-The tokenizers library encodes words once: texts are cut where its own pre-tokenizer cuts them, and pieces that a worker
-has met are taken from memory. Texts with a special token's string go through the library whole.
+The tokenizers library encodes strings once: a batch's texts are cut at white space, where the library's own pre-tokenizer
+always cuts too, and strings that a worker has met are taken from memory. Texts with a special token's string, or with
+separators that are white space to some and not to others, go through the library whole.
 
 Null texts are empty: the end id alone. Null doc_ids come first. Repeated rows stay. Other columns are not read.
 """
@@ -20,88 +21,120 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .memory import Memory
+from .common import byte_parts, ranges, utf8
+from .memory import Memory, claim
 
-#: The published word pattern of byte-level BPE vocabularies (a fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space of the pattern, or of Python.
-WHITE = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-#: Pieces that keep their cut wherever they follow another.
-SPACED = re.compile(r" [^\W\d_]+\Z")
+#: White space beyond ASCII (a fixed list of the Unicode standard), and separators that only some take for white space.
+ODD = re.compile("[\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Single words after a blank, of ASCII and Latin-1 letters, which the library can encode many at a time as one text.
+SPACED = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z")
 END_ID = 0
+#: Text that is encoded at a time.
+BATCH_BYTES = 8_000_000
 SCHEMA = "doc_id long, shard int, at long, n_tokens long, ids array<int>"
 
 
-def uneven(text: str) -> bool:
-    """Whether a blank stands beside white space or at an end: such texts are cut by the pattern alone."""
-    return text[:1] == " " or text[-1:] == " " or any(c in text and (c + " " in text or " " + c in text) for c in WHITE)
+_ASCII = np.arange(256)
+_WHITE = (_ASCII == 32) | ((_ASCII >= 9) & (_ASCII <= 13))
+_LETTER = ((_ASCII | 32) >= 97) & ((_ASCII | 32) <= 122) & (_ASCII < 128)
+_SIGN = (_ASCII > 32) & (_ASCII < 127) & ~_LETTER & ~((_ASCII >= 48) & (_ASCII <= 57))
+_LEAD = ((_ASCII >= 0x1C) & (_ASCII <= 0x1F)) | np.isin(_ASCII, [0xC2, 0xE1, 0xE2, 0xE3])  # the first bytes of what ODD finds
+_LATIN = (_ASCII >= 0x80) & (_ASCII <= 0xBF) & (_ASCII != 0x97) & (_ASCII != 0xB7)
+
+
+def string_cuts(data: np.ndarray) -> np.ndarray:
+    """Where strings begin that the published word pattern keeps apart: at white space after another character, after a single white
+    character that is no blank, at an ASCII sign after a letter. Runs of white space are not cut: what follows decides how the pattern cuts them."""
+    white = _WHITE[data]
+    before = np.concatenate(([False], white[:-1]))
+    two = np.concatenate(([False], before[:-1]))
+    lone = np.concatenate(([0], data[:-1])) != 32
+    letter = _LETTER[data]
+    letter[1:] |= (data[:-1] == 0xC3) & _LATIN[data[1:]]
+    new = (white & ~before) | (~white & before & ~two & lone)
+    new[1:] |= letter[:-1] & _SIGN[data[1:]]
+    return new
 
 
 class Encoder:
-    """Words after a single blank always begin a piece, so most texts are cut at blanks alone; pieces of words, and words, are remembered."""
+    """Ids of texts, from those of their strings."""
 
-    def __init__(self, path: str, words: int = 500_000, pieces: int = 450_000):
+    def __init__(self, path: str, strings: int = 500_000, chain: int = 256):
+        """strings: how many are remembered. chain: words that the library encodes as one text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces_of = regex.compile(PATTERN).findall
-        self.words = Memory(words, lambda new: self._learn_words([" " + w for w in new]))
-        self.pieces = Memory(pieces, self._learn_pieces)
-
-    def _learn_words(self, texts: list[str]) -> list[bytes]:
-        return self.pieces.joined([self.pieces_of(t) for t in texts])
-
-    def _learn_pieces(self, new: list[str]) -> list[bytes]:
-        """Ids of pieces. Those that begin with a blank are encoded many at a time, as one text, and told apart by their words' numbers."""
-        out: dict[str, bytes] = {}
-        chain = [p for p in new if SPACED.match(p)]
-        for a in range(0, len(chain), 256):
-            part = chain[a : a + 256]
-            e = self.library.encode("".join(part), add_special_tokens=False)
-            ids, word = np.array(e.ids, "<u4"), np.array(e.word_ids)
-            ends = np.searchsorted(word, np.arange(len(part) + 1))
-            if word[-1] != len(part) - 1:
-                raise ValueError("the library cuts words in another way")
-            for k, p in enumerate(part):
-                out[p] = ids[ends[k] : ends[k + 1]].tobytes()
-        rest = [p for p in new if p not in out]
-        for p, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
-            out[p] = np.array(e.ids, "<u4").tobytes()
-        return [out[p] for p in new]
+        self.chain = chain
+        self.memory = Memory(strings, self._learn)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words after a blank are encoded many at a time and told apart by their numbers."""
+        spaced = [SPACED.match(s) is not None for s in new]
+        chain = [s for s, yes in zip(new, spaced, strict=True) if yes]
+        parts = [chain[a : a + self.chain] for a in range(0, len(chain), self.chain)]
+        encoded = self.library.encode_batch([b"".join(p).decode() for p in parts], add_special_tokens=False)
+        ids = [np.array(e.ids, np.int32) for e in encoded]
+        many = [np.bincount(e.word_ids) for e in encoded]
+        if any(len(m) != len(p) for m, p in zip(many, parts, strict=True)):
+            raise ValueError("the library cuts words in another way")
+        rest = self._ids([s.decode() for s, yes in zip(new, spaced, strict=True) if not yes])
+        order = np.argsort(np.concatenate((np.flatnonzero(spaced), np.flatnonzero(~np.array(spaced, bool)))))
+        counts = np.concatenate([*many, np.array([len(v) for v in rest], np.int64)]).astype(np.int64)
+        first = np.concatenate(([0], np.cumsum(counts)[:-1]))
+        return np.concatenate([*ids, *rest])[ranges(first[order], counts[order])], counts[order]
+
+    def _whole(self, texts: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Which texts can't be cut."""
+        out = np.zeros(len(texts), bool)
+        lead = np.flatnonzero(_LEAD[data[off[0] : off[-1]]]) + off[0]
+        for i in np.unique(np.searchsorted(off, lead, "right") - 1).tolist():
+            out[i] = ODD.search(texts[i].as_py()) is not None
+        raw = data[off[0] : off[-1]].tobytes()
+        for special in self.special:
+            if special.encode() in raw:
+                out |= [special in (t or "") for t in texts.to_pylist()]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        heads, tails = [], []
-        for t in texts:
-            if any(s in t for s in self.special):
-                heads.append(t)
-                tails.append([])
-            elif uneven(t):
-                heads.append(self.pieces_of(t))
-                tails.append([])
-            else:
-                first, *words = t.split(" ")
-                heads.append(self.pieces_of(first))
-                tails.append(words)
-        head = iter(self.pieces.joined([h for h in heads if not isinstance(h, str)]))
-        begin = [np.array(self.library.encode(h, add_special_tokens=False).ids, "<u4").tobytes() if isinstance(h, str) else next(head) for h in heads]
-        return [a + b for a, b in zip(begin, self.words.joined(tails), strict=True)]
-
-
-_ENCODERS: dict[str, Encoder] = {}
+        ids, counts = self.flat(pa.array(texts, pa.string()))
+        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
+
+    def flat(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has. end follows each text's ids."""
+        data, off = utf8(texts)
+        whole = self._whole(texts, data, off)
+        begin, size = off[:-1][~whole], np.diff(off)[~whole]
+        own = np.ascontiguousarray(data[off[0] : off[-1]]) if not whole.any() else data[ranges(begin, size)]
+        first = np.concatenate(([0], np.cumsum(size)))
+        new = string_cuts(own) if len(own) else np.zeros(0, bool)
+        new[first[:-1][size > 0]] = True
+        cuts = np.flatnonzero(new)
+        ids, many = self.memory.values(own, np.concatenate((cuts, [len(own)])))
+        upto = np.concatenate(([0], np.cumsum(many)))[np.searchsorted(cuts, first)]
+        counts = np.zeros(len(texts), np.int64)
+        counts[~whole] = np.diff(upto)
+        at = np.flatnonzero(whole)
+        for i, more in zip(at.tolist(), self._ids([texts[i].as_py() for i in at.tolist()]), strict=True):
+            before = counts[:i].sum()
+            ids = np.concatenate((ids[:before], more, ids[before:]))
+            counts[i] = len(more)
+        if end is not None:
+            ids = np.insert(ids, np.cumsum(counts), end)
+            counts += 1
+        return ids, counts
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's own, which later tasks find again."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return claim(f"tokens {path}", lambda: Encoder(path))
 
 
 def encode_shards(path: str, end_id: int):
@@ -110,15 +143,11 @@ def encode_shards(path: str, end_id: int):
 
         encode = encoder(path)
         shard, at = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                batch = whole.slice(a, 500)
-                ids = [x + end for x in encode([t or "" for t in batch.column("text").to_pylist()])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+            for batch in byte_parts(whole, BATCH_BYTES):
+                flat, n = encode.flat(batch.column("text"), end_id)
                 places = at + np.concatenate(([0], np.cumsum(n)[:-1]))
                 at += int(n.sum())
-                flat = np.frombuffer(b"".join(ids), "<i4")
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(places), pa.array(n), lists], ["doc_id", "shard", "at", "n_tokens", "ids"])
 
@@ -157,4 +186,3 @@ def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def report(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
