@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import re
+import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch between the JVM and Python.
+ARROW_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Words are runs of digits, a-z and everything beyond ASCII; each byte of UTF-8 tells its class.
@@ -31,13 +36,35 @@ def hash_words(text: bytes) -> list[bytes]:
     return text.translate(WORD_TABLE).split()
 
 
+def trim() -> None:
+    """Gives memory that a worker no longer uses back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over batches that bytes bound (one row at least), whose workers hold nothing afterwards but what they remember on purpose."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df.mapInArrow(held, schema)
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """One buffer with the UTF-8 bytes of all values, and len+1 offsets into it. Nulls are empty."""
+    """One buffer with the bytes of all values (of strings: UTF-8), and len+1 offsets into it. Nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:
-        col = col.fill_null("")
-    col = col.cast(pa.large_string()).cast(pa.large_binary())
+        col = col.fill_null("" if pa.types.is_string(col.type) else b"")
+    col = col.cast(pa.large_string()).cast(pa.large_binary()) if pa.types.is_string(col.type) else col.cast(pa.large_binary())
     offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
     data = col.buffers()[2]
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
@@ -62,27 +89,22 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.asarray(starts, np.int64) - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(total)
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder the session names; only a session without one gets a folder of its own."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ckpt"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder, and reads on from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names, or the session's own where a test or a local session has set it."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ckpt"))  # one machine, as in tests
+        top = spark.sparkContext.getCheckpointDir()
+    return top.rstrip("/")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared checkpoint folder."""
     import uuid
 
-    checkpoint_dir(spark)
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -92,6 +114,26 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the filter by which rows are told that surely have no partner in a join, in maps of 32,768.
+FILTER_BITS = 1 << 24
+
+
+def split_by(rows: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that may have a partner in wanted (a column k of hashes like key), and those that surely have none.
+
+    A bit for each hash, in 512 maps of 4 KB at most however many there are, so the maps are broadcast. Where nearly all bits are set,
+    it tells less and costs as much.
+    """
+    bit = F.pmod(F.col("k"), F.lit(FILTER_BITS))
+    maps = wanted.groupBy(F.bitmap_bucket_number(bit).alias("map_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits_"))
+    own = F.pmod(key, F.lit(FILTER_BITS))
+    names = rows.columns
+    both = rows.withColumn("at_", F.bitmap_bit_position(own).cast("int")).withColumn("own_", F.bitmap_bucket_number(own)).join(F.broadcast(maps), F.col("own_") == F.col("map_"), "left")
+    byte = F.conv(F.hex(F.expr("substring(bits_, at_ div 8 + 1, 1)")), 16, 10).cast("int")
+    there = F.coalesce(F.expr("1").cast("int").bitwiseAND(F.call_function("shiftright", byte, F.col("at_") % 8)) == 1, F.lit(False))
+    return both.where(there).select(*names), both.where(~there).select(*names)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Of links (a, b) of 64-bit nodes, not null: node and component, its smallest node. Nodes without links are absent.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, ranges, stash
+from .common import hash_words, mapped, ranges, stash
 from .suffix import FMIndex
 
 WINDOW = 13
@@ -110,8 +110,11 @@ def shard_rows(pat: Patterns, docs: list[tuple], parts: list[tuple[np.ndarray, n
     return pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(rows, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.string()))], ["doc_id", "row", "n_words", "spans", "items"])
 
 
-def search_shards(pat: Patterns):
+def search_shards(shared):
+    """shared: the broadcast Patterns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pat = shared.value
         get = pat.number.get
         docs, parts, held = [], [], 0
         for batch in batches:
@@ -142,7 +145,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     for b in range(blocks):
         own = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         pat = Patterns([(r.item_id, r.text) for r in own.collect()], window)
-        found.append(rows.mapInArrow(search_shards(pat), SPANS))
+        found.append(mapped(rows, search_shards(spark.sparkContext.broadcast(pat)), SPANS))
     if blocks == 1:
         return found[0]
     whole = found[0]
@@ -164,16 +167,18 @@ def decide(spans: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Without contaminated documents; from the others the hit words, with what stands between them, are cut. Columns stay; docs is read twice."""
-    hits = decide(contaminated_spans(docs, benchmark)).where("n_hit > 0").select("row", "spans", "contaminated").dropDuplicates(["row"])
+    """Without contaminated documents; from the others the hit words, with what stands between them, are cut. Columns stay, whatever their names; docs is read twice."""
+    hits = decide(contaminated_spans(docs, benchmark)).where("n_hit > 0").select("doc_id", "row", "spans", "contaminated").dropDuplicates(["doc_id", "row"])
     names = docs.columns
-    keyed = docs.withColumn("row_", F.xxhash64("doc_id", "text"))
-    both = keyed.join(stash(hits, "hits").toDF("row__", "spans_", "bad_"), F.col("row_") == F.col("row__"), "left").where("bad_ IS NULL OR NOT bad_")
+    keyed = docs.select(F.struct(*names).alias("doc"), F.col("doc_id"), F.xxhash64("doc_id", "text").alias("row")).alias("d")
+    same = (F.col("d.row") == F.col("h.row")) & F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))
+    both = keyed.join(stash(hits, "hits").alias("h"), same, "left").where("h.contaminated IS NULL OR NOT h.contaminated").select("d.doc", "h.spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("spans_").to_pylist()):
+            doc = batch.column("doc")
+            texts = doc.field("text").to_pylist()
+            for i, spans in enumerate(batch.column("spans").to_pylist()):
                 if spans:
                     word = [m.span() for m in WORD.finditer(texts[i])]
                     at, out = 0, []
@@ -181,9 +186,9 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         out.append(texts[i][at : word[s["start"]][0]])
                         at = word[s["stop"] - 1][1]
                     texts[i] = "".join([*out, texts[i][at:]])
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else doc.field(n) for n in names], names)
 
-    return both.select(*names, "spans_").mapInArrow(cut, docs.schema)
+    return mapped(both, cut, docs.schema)
 
 
 def report(spans: DataFrame) -> DataFrame:

@@ -6,8 +6,7 @@ documents, then frozen. A symbol costs -log2(count / (total + kinds)) bits in th
 order 0. A text's language is the one with the shortest code, the first in the alphabet of equal ones.
 
 Texts that are null or have no letter, and all texts if nothing was learned, are ``und`` with score 0. Training rows need
-text, lang and doc_id. The sample is bounded by SAMPLE_BYTES a language: whole documents in the order of a hash of their
-id. Every byte of every text is scored. Repeated rows stay; other columns are not read.
+text, lang and doc_id. The sample is bounded by SAMPLE_BYTES a language (``learn``). Every byte of every text is scored. Repeated rows stay; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE
+from .common import LOWER_TABLE, mapped
 
 ORDER = 4
 SAMPLE_BYTES = 300_000
@@ -149,20 +148,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """docs: doc_id, text, lang. Byte counts of all usable rows set the part of each language that is sampled; only that comes to the driver."""
+    """docs: doc_id, text, lang. Byte counts of all usable rows set the part of each language that is sampled; only that comes to the driver.
+
+    The sample is whole documents in the order of a hash of their id, up to sample_bytes of each language; of a document that alone goes
+    beyond, the first sample_bytes (to a whole character) are learned, so a language of long documents only is learned too.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    size = F.octet_length("text")
+    size = F.least(F.octet_length("text"), F.lit(sample_bytes)).cast("long")
     sums = usable.groupBy("lang").agg(F.sum(size).alias("n"), F.max(size).alias("top")).collect()
     if not sums:
         return Model({})
     part = 1_000_000
     order = F.pmod(F.xxhash64("doc_id"), F.lit(part))
-    share = F.create_map(*[F.lit(x) for r in sums for x in (r.lang, min(part, int(part * 1.5 * (sample_bytes + min(r.top, sample_bytes)) / max(1, r.n)) + 1))])
-    rows = usable.where((order < share[F.col("lang")]) & (size <= sample_bytes)).select("lang", order.alias("o"), "doc_id", "text").collect()
+    share = F.create_map(*[F.lit(x) for r in sums for x in (r.lang, min(part, int(part * 1.5 * (sample_bytes + r.top) / max(1, r.n)) + 1))])
+    # a character has a byte at least, so this keeps all that is learned
+    rows = usable.where(order < share[F.col("lang")]).select("lang", order.alias("o"), "doc_id", F.substring("text", 1, sample_bytes).alias("text")).collect()
     samples: dict[str, list[bytes]] = {}
     held: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.o, r.doc_id, r.text)):
-        text = r.text.encode()
+        text = r.text.encode()[:sample_bytes].decode("utf-8", "ignore").encode()
         if held.get(r.lang, 0) + len(text) <= sample_bytes:
             samples.setdefault(r.lang, []).append(text)
             held[r.lang] = held.get(r.lang, 0) + len(text)
@@ -170,8 +174,9 @@ def learn(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred, score (the best language's part of the probability) and bits (code bits a byte; null for ``und``) to all columns of docs."""
+    """Adds lang_pred, score (the best language's part of the probability) and bits (code bits a byte; null for ``und``) to all columns of docs, of which those with these names go."""
     spark = docs.sparkSession
+    docs = docs.drop("lang_pred", "score", "bits")
     shared = spark.sparkContext.broadcast(model)
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits")).schema
 
@@ -191,4 +196,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     pred[i], score[i], rate[i] = known.langs[k], p, b / len(t)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], [*batch.schema.names, "lang_pred", "score", "bits"])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
-from .common import ranges
+from .common import ranges, trim
 
 
 class Memory:
@@ -53,16 +52,7 @@ _OWN: dict[str, object] = {}
 def claim(key: str, make: Callable[[], object]) -> object:
     """The worker's one object of this key, which later tasks of the same operator find again. What other operators left goes first."""
     if key not in _OWN:
-        release()
+        _OWN.clear()
+        trim()
         _OWN[key] = make()
     return _OWN[key]
-
-
-def release() -> None:
-    """Gives memory that is no longer used back to the machine."""
-    _OWN.clear()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass

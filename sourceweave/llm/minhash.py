@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, components, stash
+from .common import LOWER_TABLE, components, mapped, stash
 
 WORDS, M, R = 5, 96, 4
 #: Similarity as a ratio: intersection * DEN >= union * num; NUM is op7's, other callers give their own.
@@ -276,7 +276,7 @@ def block_links(table: pa.Table, num: int = NUM) -> pa.Table:
 def near_links(docs: DataFrame, num: int = NUM) -> tuple[DataFrame, DataFrame]:
     """base: doc_id, th, n_shingles, cls of every row; links between classes (a, b)."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    base = stash(docs.mapInArrow(sketch, "doc_id long, th long, n_shingles long, cls long, regs binary"), "sketch")
+    base = stash(mapped(docs, sketch, "doc_id long, th long, n_shingles long, cls long, regs binary"), "sketch")
     full = base.where("n_shingles > 0")
     # one row of each class stands for it; equal sets have equal registers
     ids = full.groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.max("n_shingles").alias("n"))
@@ -284,17 +284,17 @@ def near_links(docs: DataFrame, num: int = NUM) -> tuple[DataFrame, DataFrame]:
     own = full.select("doc_id", "th", "regs", F.col("cls").alias("c"))
     same = (F.col("h.doc_id").eqNullSafe(F.col("o.doc_id"))) & (F.col("h.th") == F.col("o.th"))
     heads = stash(heads.alias("h").join(own.alias("o"), same & (F.col("h.cls") == F.col("o.c"))).select("h.cls", "h.n", "h.doc_id", "h.th", "o.regs").dropDuplicates(["cls"]), "heads")
-    keys = heads.select("cls", "regs").mapInArrow(bands, "cls long, band long")
+    keys = mapped(heads.select("cls", "regs"), bands, "cls long, band long")
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "cls")).alias(f"m{k}") for k in (0, 1)]
     buckets = keys.groupBy("band").agg(F.count("*").alias("k"), F.min("cls").alias("a"), F.max("cls").alias("b"), *marks).where("k > 1")
     buckets = stash(buckets.groupBy("k", "a", "b", "m0", "m1").agg(F.min("band").alias("band")), "buckets")
     side = heads.select("cls", "n", "regs")
     both = buckets.where("k = 2").select("a", "b").join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b")
-    close = stash(both.mapInArrow(lambda x: screen(x, num), "a long, b long").unionByName(_bucket_search(keys, buckets, side, num)).distinct(), "pairs")
+    close = stash(mapped(both, lambda x: screen(x, num), "a long, b long").unionByName(_bucket_search(keys, buckets, side, num)).distinct(), "pairs")
     nodes = close.select(F.col("a").alias("cls")).union(close.select("b")).distinct().join(heads.select("cls", "doc_id", "th"), "cls")
     texts = stash(nodes.alias("x").join(docs.alias("d"), (F.col("x.th") == F.col("d.th")) & F.col("x.doc_id").eqNullSafe(F.col("d.doc_id"))).select("x.cls", "d.text").dropDuplicates(["cls"]), "texts")
     ready = close.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    judged = stash(ready.mapInArrow(lambda x: confirm(x, num), "a long, b long, linked boolean"), "judged")
+    judged = stash(mapped(ready, lambda x: confirm(x, num), "a long, b long, linked boolean"), "judged")
     links = judged.where("linked").select("a", "b")
     return base, links.unionByName(_block_search(judged, links, texts, num))
 
@@ -308,7 +308,7 @@ def _bucket_search(keys: DataFrame, buckets: DataFrame, side: DataFrame, num: in
     slots = F.transform(others, lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
     rows = rows.select("band", "cls", F.explode(slots).alias("s")).select("band", "s.i", "s.j", "cls").join(side, "cls")
     dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "n", "cls")
-    return dealt.select("band", "i", "j", "cls", "n", "regs").mapInArrow(lambda x: bucket_pairs(x, num), "a long, b long")
+    return mapped(dealt.select("band", "i", "j", "cls", "n", "regs"), lambda x: bucket_pairs(x, num), "a long, b long")
 
 
 def _block_search(judged: DataFrame, links: DataFrame, texts: DataFrame, num: int) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import byte_parts, ranges
+from .common import byte_parts, mapped, ranges
 from .memory import Memory, claim
 
 BLANK = "▁"
@@ -318,7 +318,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), lists], ["doc_id", "text", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, text string, ids array<int>")
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:
@@ -343,4 +343,4 @@ def report(docs: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "same"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, same boolean")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, same boolean")

@@ -4,18 +4,21 @@ All suffixes that begin with one 400-byte string have the same minimizer: the 64
 those of the string. Neighbouring suffixes with one minimizer form a run, so a document is cut into runs of about
 170 suffixes, and runs with the same minimizer are the suffix bucket that must be sorted together. Bucket by bucket:
 
-1. Runs with equal content are counted, not sorted: all their suffixes are repeated.
+1. Runs with equal content (told by 128 bits of BLAKE2b over their bytes and places) are counted, not sorted, and one copy of
+   each content stands for all in what follows; if there are more, all its suffixes are repeated.
 2. Minimizers that one content alone has need no more. Of the other contents, one copy each goes to its bucket.
 3. A task lays its buckets' contents out with all minimizers at multiples of V, so suffixes that may be equal stand at one
    residue. It ranks the suffixes at the places of a difference cover modulo V once, by doubling, to 256 bytes. Then each
    bucket's suffixes are sorted: the bytes up to the next cover place decide, then cover ranks settle long ties, then the
    bytes after the last ranked place. Equal neighbours in that order are repeated strings.
-4. Buckets with more than GROUP contents are not held in one task: their suffixes' hashes (128 bits, beside bucket and
-   offset) are counted as rows.
+4. The contents of buckets that no one task should hold (over GROUP of them) are cut into runs again, by the minimizers of
+   another hash, which parts those that differ; what falls together again goes on so, LEVELS times. What then is left in one
+   bucket, contents that differ in a few bytes only, is counted suffix by suffix, by BLAKE2b of the 400 bytes.
 
 Repeated suffixes go back to their documents, which drop each byte they cover. Strings never cross documents.
-Null texts are empty, texts under 400 bytes lose nothing. Equal rows, too, are documents of their own and so repeat each other.
-Documents are told apart by doc_id and a hash of the text; columns beyond doc_id and text are not read.
+Null texts are empty, texts under 400 bytes lose nothing; an empty table gives an empty table. Equal rows, too, are documents
+of their own and so repeat each other. Long texts are cut into overlapping parts of LONG bytes, which lose no suffix.
+Documents are told apart by doc_id (which may be null) and a hash of the text; columns beyond doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -25,21 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, stash, utf8
-from .minhash import _BYTE, _INVERSE, _ODD, mix, powers
+from .common import byte_parts, mapped, ranges, split_by, stash, utf8
+from .minhash import _BYTE, _INVERSE, _ODD, _STEP, mix, powers
 
 LENGTH, GRAM = 400, 64
-GROUP = 512
+#: Contents that are sorted together, and how often larger buckets are cut anew.
+GROUP, LEVELS = 512, 3
+#: Bytes of text that are cut into runs, or sorted, at a time; texts beyond LONG are cut in parts.
+BATCH, LONG = 1_000_000, 4_000_000
 ROOT = 8
 V = ROOT * ROOT
 #: Every distance modulo V is a difference of two of these, and the next of them is never ROOT or more away.
 COVER = np.array(sorted({*range(ROOT), *(ROOT * k - 1 for k in range(2, ROOT + 1))}))
 _NEXT = np.array([min((c - r) % V for c in COVER) for r in range(V)])
 _LAST = np.array([min((r - c) % V for c in COVER) for r in range(V)])
-BLOCK = 1_000_000
 POS = 28
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -70,14 +75,14 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def runs(data: np.ndarray, first: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Runs of suffixes with one minimizer. first: offsets of the documents in data. s, e: the first and last suffix of a run; p: the minimizer's place."""
+def runs(data: np.ndarray, first: np.ndarray, level: int = 0, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
+    """Runs of suffixes with one minimizer. first: offsets of the texts in data. s, e: the first and last suffix of a run; p: the minimizer's place; h: its hash."""
     n = len(data)
     if n < length:
-        return {k: np.zeros(0, np.int64) for k in ("doc", "s", "e", "p", "h", "c")}
+        return {k: np.zeros(0, np.int64) for k in ("doc", "s", "e", "p", "h")}
     total = prefix_sums(data)
     inverse = _power(n)[1]
-    g = mix((total[gram:] - total[:-gram]) * inverse[: n - gram + 1])
+    g = mix((total[gram:] - total[:-gram]) * inverse[: n - gram + 1] + _STEP * np.uint64(level))
     low = np.uint64(2**POS - 1)
     least = sliding_min((g & ~low) | np.arange(len(g), dtype=np.uint64), length - gram + 1)
     place = (least & low).astype(np.int64)
@@ -90,47 +95,76 @@ def runs(data: np.ndarray, first: np.ndarray, length: int = LENGTH, gram: int =
     new = np.flatnonzero(np.concatenate(([True], (np.diff(p) != 0) | (np.diff(doc) != 0)))) if len(i) else np.zeros(0, np.int64)
     s, p, doc = i[new], p[new], doc[new]
     e = i[np.concatenate((new[1:], [len(i)])) - 1] if len(new) else s
-    c = mix((total[e + length] - total[s]) * inverse[s] + mix((p - s).astype(np.uint64) * np.uint64(1 << 20) + (e - s).astype(np.uint64)))
-    return {"doc": doc, "s": s, "e": e, "p": p, "h": g[p], "c": c}
-
-
-def _parts(batches: Iterator[pa.RecordBatch], size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Batches of whole rows, with about so many bytes of text."""
-    for batch in batches:
-        _, off = utf8(batch.column("text"))
-        a = 0
-        while a < batch.num_rows:
-            b = max(a + 1, int(np.searchsorted(off, off[a] + size)))
-            yield batch.slice(a, b - a)
-            a = b
-
-
-def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _parts(batches):
-        data, off = utf8(batch.column("text"))
-        data, off = data[off[0] : off[-1]], off - off[0]
-        r = runs(data, off)
-        ids = [batch.column(k).take(pa.array(r["doc"])) for k in ("doc_id", "th")]
-        own = r["s"] - off[r["doc"]]
-        yield pa.RecordBatch.from_arrays(
-            [*ids, pa.array(r["h"].view(np.int64)), pa.array(r["c"].view(np.int64)), pa.array(own.astype(np.int64)), pa.array((r["e"] - r["s"]).astype(np.int32)), pa.array((r["p"] - r["s"]).astype(np.int32))],
-            ["doc_id", "th", "h", "c", "s", "more", "off"],
-        )
+    return {"doc": doc, "s": s, "e": e, "p": p, "h": g[p]}
+
+
+def digests(data: np.ndarray, a: np.ndarray, b: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b over each data[a:b] and salt, as two numbers."""
+    view, hashed = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    whole = [hashed(view[i:j], digest_size=16, salt=k.to_bytes(8, "little")).digest() for i, j, k in zip(a.tolist(), b.tolist(), salt.tolist(), strict=True)]
+    return np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
+
+
+def text_parts(off: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts texts into parts that hold each suffix of 400 bytes once: the number of the text, start and stop of each part."""
+    size = np.diff(off)
+    many = np.maximum(1, -(-(size - LENGTH + 1) // long))
+    doc = np.repeat(np.arange(len(size)), many)
+    start = off[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * long
+    return doc, start, np.minimum(start + long + LENGTH - 1, off[1:][doc])
+
+
+def find_runs(key: list[str], level: int):
+    """Of rows with a key, n (how many there are) and text: the runs of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in byte_parts(whole, BATCH):
+                data, off = utf8(batch.column("text"))
+                doc, start, stop = text_parts(off, LONG)
+                for a, b in _spread(stop - start, 2 * BATCH):
+                    begin, size = start[a:b], (stop - start)[a:b]
+                    own = data[ranges(begin, size)] if b - a > 1 else data[begin[0] : stop[a]]
+                    first = np.concatenate(([0], np.cumsum(size)))
+                    r = runs(own, first, level)
+                    row = doc[a:b][r["doc"]]
+                    more, to = r["e"] - r["s"], r["p"] - r["s"]
+                    c = digests(own, r["s"], r["e"] + LENGTH, (to << 32) + more)
+                    s = r["s"] - first[:-1][r["doc"]] + begin[r["doc"]] - off[:-1][row]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(k).take(pa.array(row)) for k in [*key, "n"]), pa.array(r["h"].view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(s.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(to.astype(np.int32))],
+                        [*key, "n", "run_h", "run_c", "run_d", "s", "more", "off"],
+                    )
+
+    return run
+
+
+def _spread(size: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of neighbours of about so many bytes."""
+    upto, out, a = np.concatenate(([0], np.cumsum(size))), [], 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + most, "right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of asked-for runs: wants has (h, c, n, s, more, off)."""
-    for batch in _parts(batches, 1_000_000):
-        data, off = utf8(batch.column("text"))
-        wants = batch.column("wants")
-        flat, at = wants.flatten(), np.diff(wants.offsets.to_numpy())
-        doc = np.repeat(np.arange(batch.num_rows), at)
-        col = {k: flat.field(k) for k in ("h", "c", "n", "s", "more", "off")}
-        s, more = col["s"].to_numpy(), col["more"].to_numpy().astype(np.int64)
-        size = more + LENGTH
-        body = data[ranges(off[:-1][doc] + s, size)]
-        seg = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int64)), pa.py_buffer(body)])
-        yield pa.RecordBatch.from_arrays([col["h"], col["c"], col["n"], col["off"], seg.cast(pa.binary())], ["h", "c", "n", "off", "seg"])
+    """The bytes of asked-for runs: wants has (h, c, d, n, s, more, off)."""
+    for whole in batches:
+        for batch in byte_parts(whole, BATCH):
+            data, off = utf8(batch.column("text"))
+            wants = batch.column("wants")
+            flat, at = wants.flatten(), np.diff(wants.offsets.to_numpy())
+            doc = np.repeat(np.arange(batch.num_rows), at)
+            col = {k: flat.field(k) for k in ("h", "c", "d", "n", "s", "more", "off")}
+            size = col["more"].to_numpy().astype(np.int64) + LENGTH
+            begin = off[:-1][doc] + col["s"].to_numpy()
+            for a, b in _spread(size, 4 * BATCH):
+                body = data[ranges(begin[a:b], size[a:b])]
+                first = np.concatenate(([0], np.cumsum(size[a:b]))).astype(np.int64)
+                seg = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(first), pa.py_buffer(body)])
+                yield pa.RecordBatch.from_arrays([*(col[k].slice(a, b - a) for k in ("h", "c", "d", "n", "off")), seg.cast(pa.binary())], ["h", "c", "d", "n", "off", "text"])
 
 
 def sample_ranks(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,133 +223,152 @@ def sort_block(group: np.ndarray, segs: list[bytes], off: np.ndarray, times: np.
     return np.split(repeated, np.cumsum(many)[:-1])
 
 
-def _spans(flags: np.ndarray) -> list[dict]:
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-    return [{"a": int(a), "b": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-
-
-SPAN = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-
-
 def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by bucket; whole buckets are sorted together, about BLOCK bytes at a time."""
+    """Rows come by bucket and content; whole buckets are sorted together, about BATCH bytes at a time."""
 
     def done(rows: list[tuple]) -> pa.RecordBatch:
         h = np.array([r[0] for r in rows], np.int64)
         group = np.cumsum(np.concatenate(([0], (h[1:] != h[:-1]).astype(np.int64))))
-        flags = sort_block(group, [r[4] for r in rows], np.array([r[3] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
-        out = [(r[0], r[1], s) for r, f in zip(rows, flags, strict=True) if r[2] == 1 and f.any() and (s := _spans(f))]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], SPAN)], ["h", "c", "spans"])
+        flags = sort_block(group, [r[5] for r in rows], np.array([r[4] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64))
+        edges = [(r[:3], np.flatnonzero(np.diff(np.concatenate(([0], f.astype(np.int8), [0])))).tolist()) for r, f in zip(rows, flags, strict=True) if r[3] == 1 and f.any()]
+        spans = pa.array([[{"a": a, "b": b} for a, b in zip(e[::2], e[1::2], strict=True)] for _, e in edges], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+        return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k, _ in edges], pa.int64()) for i in range(3)), spans], ["h", "c", "d", "spans"])
 
-    rows, held, mark = [], 0, 0
+    rows, held = [], 0
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in ("h", "c", "n", "off", "seg")), strict=True):
-            if rows and row[0] != rows[-1][0]:
-                mark = len(rows)
-                if held >= BLOCK:
-                    yield done(rows)
-                    rows, held, mark = [], 0, 0
+        for row in zip(*(batch.column(k).to_pylist() for k in ("h", "c", "d", "n", "off", "text")), strict=True):
+            if rows and row[:3] == rows[-1][:3]:
+                continue  # from an equal row
+            if rows and row[0] != rows[-1][0] and held >= BATCH:
+                yield done(rows)
+                rows, held = [], 0
             rows.append(row)
-            held += len(row[4])
+            held += len(row[5])
     if rows:
         yield done(rows)
 
 
 def hash_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each suffix of the contents of very large buckets: two hashes of its 400 bytes, with its bucket and offset."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, 500):
-            part = batch.slice(a, 500)
-            segs = part.column("seg").to_pylist()
-            size = np.array([len(s) for s in segs], np.int64)
-            base = np.concatenate(([0], np.cumsum(size)))[:-1]
-            data = np.frombuffer(b"".join(segs), np.uint8)
-            many = size - LENGTH + 1
-            i = ranges(base, many)
-            seg = np.repeat(np.arange(len(segs)), many)
-            k = i - base[seg]
-            o = (part.column("off").to_numpy()[seg] - k).astype(np.int64)
-            inverse = _power(len(data))[1]
-            one = prefix_sums(data)
-            two = prefix_sums(data[::-1])
-            j = len(data) - i - LENGTH
-            x = mix((one[i + LENGTH] - one[i]) * inverse[i] + o.astype(np.uint64) * np.uint64(_ODD))
-            y = mix(((two[j + LENGTH] - two[j]) * inverse[j]) ^ np.uint64(_INVERSE))
-            take = lambda c: part.column(c).take(pa.array(seg))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([take("h"), take("c"), take("n"), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(k.astype(np.int32))], ["h", "c", "n", "x", "y", "k"])
+    """A row for each suffix of contents: BLAKE2b of its 400 bytes, and its place k."""
+    for whole in batches:
+        for batch in byte_parts(whole, 100_000):
+            data, off = utf8(batch.column("text"))
+            many = np.diff(off) - LENGTH + 1
+            i = ranges(off[:-1], many)
+            seg = np.repeat(np.arange(batch.num_rows), many)
+            x = digests(data, i, i + LENGTH, np.zeros(len(i), np.int64))
+            take = [batch.column(c).take(pa.array(seg)) for c in ("h", "c", "d", "n")]
+            yield pa.RecordBatch.from_arrays([*take, pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array((i - off[:-1][seg]).astype(np.int32))], ["h", "c", "d", "n", "x", "y", "k"])
+
+
+CONTENT = ["h", "c", "d"]
+SPANS = "array<struct<a:int,b:int>>"
+#: Of ranges (a, b), those that they join to.
+MAXIMAL = f"""aggregate(array_sort(flatten(collect_list(spans))), cast(array() as {SPANS}), (m, x) -> CASE WHEN size(m) > 0 AND element_at(m, -1).b >= x.a
+  THEN concat(slice(m, 1, size(m) - 1), array(named_struct('a', element_at(m, -1).a, 'b', greatest(element_at(m, -1).b, x.b)))) ELSE concat(m, array(x)) END)"""
+
+
+def _same(key: list[str], left: str, right: str) -> Column:
+    """Equal keys, of which the last is never null."""
+    out = F.col(f"{left}.{key[-1]}") == F.col(f"{right}.{key[-1]}")
+    for k in key[:-1]:
+        out = out & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return out
 
 
-def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds kept (bytes) and cuts (maximal removed ranges) to rows of doc_id, text and starts, stops (of repeated strings)."""
-    for batch in _parts(batches):
-        kept, cuts = [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            raw = (text or "").encode()
-            merged: list[list[int]] = []
-            for x in sorted((x["a"], x["b"]) for part in spans or () for x in part):
-                if merged and x[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], x[1])
-                else:
-                    merged.append([*x])
-            at, out = 0, []
-            for a, b in merged:
-                out.append(raw[at:a])
-                at = b
-            kept.append(b"".join([*out, raw[at:]]) if merged else raw)
-            cuts.append([{"a": a, "b": b} for a, b in merged])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(cuts, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["doc_id", "kept", "cuts"])
-
-
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with th, and (doc_id, th, spans): lists of byte ranges [a, b) that repeated strings cover."""
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    found = stash(docs.where(F.octet_length("text") >= LENGTH).mapInArrow(find_runs, "doc_id long, th long, h long, c long, s long, more int, off int"), "runs")
-    contents = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "s", "more", "off")).alias("one"))
+def repeated_starts(texts: DataFrame, key: list[str], level: int = 0) -> DataFrame:
+    """Of rows with a key of longs, n (how many equal texts it stands for) and text (string or binary): key and spans, ranges [a, b) of the starts of repeated strings, a row for each run that has any."""
+    schema = ", ".join(f"{k} long" for k in [*key, "n", "run_h", "run_c", "run_d"]) + ", s int, more int, off int"
+    found = stash(mapped(texts.where(F.octet_length("text") >= LENGTH), find_runs(key, level), schema), "runs")
+    one = [F.first(k).alias(f"own_{k}") for k in key]
+    # any run of a content may stand for it: all have the same bytes
+    contents = found.groupBy(*[F.col(f"run_{k}").alias(k) for k in CONTENT]).agg(F.sum("n").alias("n"), *one, *[F.first(k).alias(k) for k in ("s", "more", "off")])
     contents = stash(contents, "contents")
     shared = contents.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    wanted = contents.join(shared, "h").select("h", "c", "n", "m", "one.*")
-    ask = F.collect_list(F.struct("h", "c", F.least("n", F.lit(2).cast("long")).alias("n"), "s", "more", "off"))
-    asked = wanted.withColumn("big", F.col("m") > GROUP).groupBy("doc_id", "th", "big").agg(ask.alias("wants"))
-    same = (F.col("a.th") == F.col("d.th")) & F.col("a.doc_id").eqNullSafe(F.col("d.doc_id"))
-    with_text = asked.alias("a").join(docs.alias("d"), same).select("d.text", "a.wants", "a.big")
-    schema = "h long, c long, n long, off int, seg binary"
-    small = with_text.where("not big").select("text", "wants").mapInArrow(cut_out, schema)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    span = "h long, c long, spans array<struct<a:int,b:int>>"
-    some = small.repartition(n, "h").sortWithinPartitions("h").mapInArrow(sort_buckets, span)
-    large = with_text.where("big").select("text", "wants").mapInArrow(cut_out, schema).mapInArrow(hash_suffixes, "h long, c long, n long, x long, y long, k int")
-    large = stash(large, "suffixes")
-    twice = large.groupBy("h", "x", "y").agg(F.sum("n").alias("t")).where("t > 1").drop("t")
-    each = large.where("n = 1").join(twice, ["h", "x", "y"]).groupBy("h", "c").agg(F.collect_set("k").alias("ks"))
-    more = each.select("h", "c", F.transform("ks", lambda k: F.struct(k.alias("a"), (k + 1).alias("b"))).alias("spans"))
-    whole = contents.where("n > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), (F.col("one.more") + 1).alias("b"))).alias("spans"))
-    flagged = whole.unionByName(some).unionByName(more)
-    hits = found.select("doc_id", "th", "h", "c", "s").join(flagged, ["h", "c"])
-    spans = hits.select("doc_id", "th", F.transform("spans", lambda x: F.struct((F.col("s") + x["a"]).alias("a"), (F.col("s") + x["b"] - 1 + LENGTH).alias("b"))).alias("spans"))
-    return docs, stash(spans.groupBy("doc_id", "th").agg(F.collect_list("spans").alias("spans")), "spans")
+    wanted = contents.join(shared, "h").withColumn("big", F.col("m") > GROUP)
+    ask = F.collect_list(F.struct(*CONTENT, F.least("n", F.lit(2).cast("long")).alias("n"), "s", "more", "off")).alias("wants")
+    asked = stash(wanted.groupBy(*[F.col(f"own_{k}").alias(k) for k in key], "big").agg(ask), "asked")
+    near, _ = split_by(texts, F.xxhash64(*key), asked.select(F.xxhash64(*key).alias("k")))
+    with_text = asked.alias("a").join(near.alias("t"), _same(key, "a", "t")).select("t.text", "a.wants", "a.big")
+    segment = "h long, c long, d long, n long, off int, text binary"
+    small = mapped(with_text.where("not big").select("text", "wants"), cut_out, segment)
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flagged = mapped(small.repartition(n, "h").sortWithinPartitions(*CONTENT), sort_buckets, f"h long, c long, d long, spans {SPANS}")
+    flagged = flagged.unionByName(contents.where("n > 1").select(*CONTENT, F.array(F.struct(F.lit(0).alias("a"), (F.col("more") + 1).alias("b"))).alias("spans")))
+    if not asked.where("big").isEmpty():
+        large = stash(mapped(with_text.where("big").select("text", "wants"), cut_out, segment).dropDuplicates(CONTENT), "large")
+        if level < LEVELS:
+            deeper = repeated_starts(large, CONTENT, level + 1)
+        else:
+            each = stash(mapped(large, hash_suffixes, "h long, c long, d long, n long, x long, y long, k int"), "suffixes")
+            twice = each.groupBy("x", "y").agg(F.sum("n").alias("t")).where("t > 1").drop("t")
+            deeper = each.join(twice, ["x", "y"]).select(*CONTENT, F.array(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))).alias("spans"))
+        flagged = flagged.unionByName(deeper)
+    flagged = flagged.groupBy(*CONTENT).agg(F.expr(MAXIMAL).alias("spans"))
+    same = (F.col("r.run_h") == F.col("f.h")) & (F.col("r.run_c") == F.col("f.c")) & (F.col("r.run_d") == F.col("f.d"))
+    hits = found.select(*key, *[f"run_{k}" for k in CONTENT], "s").alias("r").join(flagged.alias("f"), same)
+    placed = F.transform("f.spans", lambda x: F.struct((F.col("r.s") + x["a"]).alias("a"), (F.col("r.s") + x["b"]).alias("b")))
+    return hits.select(*[F.col(f"r.{k}").alias(k) for k in key], placed.alias("spans"))
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """Of docs with doc_id, th (a hash of the text) and text: doc_id, th and spans, the byte ranges [a, b) that repeated strings cover, for rows that have any."""
+    starts = repeated_starts(docs.select("doc_id", "th", F.lit(1).cast("long").alias("n"), "text"), ["doc_id", "th"])
+    bytes_ = F.transform("spans", lambda x: F.struct(x["a"].alias("a"), (x["b"] - 1 + LENGTH).alias("b")))
+    # rows that are equal in both give each range as often as there are rows, and keep one
+    return stash(starts.groupBy("doc_id", "th").agg(F.flatten(F.collect_set(bytes_)).alias("spans")), "spans")
+
+
+def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kept (bytes) and cuts (maximal removed ranges) of rows of doc_id, text and spans."""
+    for whole in batches:
+        for batch in byte_parts(whole, 4 * BATCH):
+            kept, cuts = [], []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                raw = (text or "").encode()
+                merged: list[list[int]] = []
+                for a, b in sorted((x["a"], x["b"]) for x in spans or ()):
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], b)
+                    else:
+                        merged.append([a, b])
+                at, out = 0, []
+                for a, b in merged:
+                    out.append(raw[at:a])
+                    at = b
+                kept.append(b"".join([*out, raw[at:]]) if merged else raw)
+                cuts.append([{"a": a, "b": b} for a, b in merged])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(cuts, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["doc_id", "kept", "cuts"])
+
+
+def _with_spans(docs: DataFrame) -> DataFrame:
+    """All rows of docs, whose columns go into one struct ``row``, with their spans (null if nothing repeats)."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.xxhash64("text").alias("th"))
+    spans = repeated_spans(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"))
+    near, rest = split_by(rows, F.xxhash64("doc_id", "th"), spans.select(F.xxhash64("doc_id", "th").alias("k")))
+    both = near.alias("d").join(spans.alias("s"), _same(["doc_id", "th"], "d", "s"), "left").select("d.row", "s.spans")
+    return both.unionByName(rest.select("row", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, kept (the bytes that stay) and cuts (ranges removed) of every row."""
-    docs, spans = repeated_spans(docs)
-    same = (F.col("s.th") == F.col("d.th")) & F.col("s.doc_id").eqNullSafe(F.col("d.doc_id"))
-    return docs.alias("d").join(spans.alias("s"), same, "left").select("d.doc_id", "d.text", "s.spans").mapInArrow(remove, "doc_id long, kept binary, cuts array<struct<a:long,b:long>>")
+    both = _with_spans(docs.select("doc_id", "text")).select("row.doc_id", "row.text", "spans")
+    return mapped(both, remove, "doc_id long, kept binary, cuts array<struct<a:long,b:long>>")
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """docs with the repeated strings cut from text; a character that is cut in its middle goes whole. Columns stay."""
+    """docs with the repeated strings cut from text; a character that is cut in its middle goes whole. Columns stay, whatever their names; null texts stay null."""
     names = docs.columns
-    _, spans = repeated_spans(docs)
-    keyed = docs.withColumn("th_", F.xxhash64("text")).alias("d")
-    both = keyed.join(spans.toDF("id__", "th__", "spans_"), (F.col("th_") == F.col("th__")) & F.col("d.doc_id").eqNullSafe(F.col("id__")), "left").select(*[F.col(f"d.{n}") for n in names], F.col("spans_").alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
-            kept = next(remove(iter([batch.select(["doc_id", "text", "spans"])]))).column("kept").to_pylist()
-            texts = [None if t is None else k.decode("utf-8", "ignore") for k, t in zip(kept, batch.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
-
-    return both.mapInArrow(cut, docs.schema)
+        for whole in batches:
+            row = whole.column("row")
+            own = pa.RecordBatch.from_arrays([row.field("doc_id"), row.field("text"), whole.column("spans")], ["doc_id", "text", "spans"])
+            kept = [x for part in remove(iter([own])) for x in part.column("kept").to_pylist()]
+            texts = [None if t is None else k.decode("utf-8", "ignore") for k, t in zip(kept, own.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else row.field(n) for n in names], names)
+
+    return mapped(_with_spans(docs), cut, docs.schema)
 
 
 def report(removed: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 #: Rules that one broadcast trie may hold; larger sets are joined instead.
 TRIE_RULES = 200_000
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -74,14 +76,15 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow", trie_rules: int
         if rules.limit(trie_rules + 1).count() > trie_rules:
             return _joined(parsed, rules, default)
         rules = [tuple(r) for r in rules.select("host", "path", "verdict").collect()]
-    trie = Trie(rules)
+    trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [trie.match(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            match = trie.value.match
+            found = [match(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x and x[2] for x in found], pa.string()), pa.array([x[3] if x else default for x in found], pa.string())], [*batch.schema.names, "rule", "verdict"])
 
-    return parsed.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
+    return mapped(parsed, run, "page_id long, host string, path string, rule string, verdict string")
 
 
 def _joined(parsed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
