@@ -15,19 +15,17 @@ from sourceweave.llm.common import stash, table
 from sourceweave.llm.queries import tokenizer
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Code bits a byte from which on no language explains a text better than bare bytes.
-RAW_BITS = 8.0
 #: Near duplicates share this many hundredths of their shingles or more.
 SIMILAR = 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, and those that no known language explains, go."""
+    """Texts that are null or have no letter go. If no row has a language to learn from, all stay."""
     docs = docs.select(*DOCUMENTS)
     model = language.learn(docs)
     if not model.langs:
         return docs
-    return language.predict(docs, model).where((F.col("lang_pred") != language.UND) & (F.col("bits") < RAW_BITS)).select(*DOCUMENTS)
+    return language.predict(docs, model).where(F.col("lang_pred") != language.UND).select(*DOCUMENTS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
