@@ -1,7 +1,7 @@
 """Near-duplicate documents by SetSketch registers.
 
-A document's set are the hashes of its 5-word shingles. Documents with equal sets are one class; what follows works on
-classes. Each class has M registers: the smallest of the set's values under each of M hash functions, taken as a sample
+A document's set are the hashes of its 5-word shingles, made of 64-bit BLAKE2b digests of the words. Documents with equal
+sets (told by 128 bits: two independent sums over the set) are one class; what follows works on classes, which have numbers. Each class has M registers: the smallest of the set's values under each of M hash functions, taken as a sample
 of an exponential distribution, on an exponential scale truncated to 16 bits (registers of unions are maxima, so sketches
 merge). Runs of R registers are band keys.
 
@@ -22,6 +22,7 @@ doc_id are kept. Columns beyond doc_id and text are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +71,18 @@ _ODD = 0xD1342543DE82EF95
 _INVERSE = pow(_ODD, -1, 2**64)
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Of each data[start:stop], neighbours with one byte between them at least, a BLAKE2b digest; each distinct word is hashed once."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    both = np.stack((start, stop), 1).ravel()
+    cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(both) - 1, [None, pa.py_buffer(both.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = cut.take(pa.array(np.arange(0, len(both), 2))).dictionary_encode()
+    hashed = hashlib.blake2b
+    own = np.frombuffer(b"".join([hashed(w, digest_size=8).digest() for w in coded.dictionary.to_pylist()]), np.uint64)
+    return own[coded.indices.to_numpy()]
+
+
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of all texts, sorted within each, and len+1 offsets of the texts."""
     data = np.frombuffer(b" ".join(t.translate(LOWER_TABLE) for t in texts) + b" ", np.uint8)
@@ -77,8 +90,7 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank))))
     start, stop = edge[::2], edge[1::2]
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers(len(data), _ODD), dtype=np.uint64)))
-    word = mix((total[stop] - total[start]) * powers(len(data), _INVERSE)[start] + (stop - start).astype(np.uint64))
+    word = word_hashes(data, start, stop)
     doc = np.searchsorted(first, start, "right") - 1
     n = np.bincount(doc, minlength=len(texts))
     begin = np.concatenate(([0], np.cumsum(n)))
@@ -139,14 +151,15 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, off = shingles(_texts(batch))
         n = np.diff(off)
         full = np.flatnonzero(n > 0)
-        cls = np.zeros(len(n), np.uint64)
+        one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
         if len(full):
             at = off[:-1][full]
-            cls[full] = mix(np.add.reduceat(mix(h ^ _STEP), at) + mix(np.bitwise_xor.reduceat(mix(h + _STEP), at) + n[full].astype(np.uint64)))
+            one[full] = np.add.reduceat(mix(h ^ _STEP), at)
+            two[full] = np.add.reduceat(mix(h * _PLACE[0] + _PLACE[1]), at)
         regs: list[bytes | None] = [None] * len(n)
         for i, r in zip(full.tolist(), registers(h, off), strict=True):
             regs[i] = r.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(cls.view(np.int64)), pa.array(regs, pa.binary())], ["doc_id", "th", "n_shingles", "cls", "regs"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(regs, pa.binary())], ["doc_id", "th", "n_shingles", "one", "two", "regs"])
 
 
 def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,17 +286,16 @@ def block_links(table: pa.Table, num: int = NUM) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
-def near_links(docs: DataFrame, num: int = NUM) -> tuple[DataFrame, DataFrame]:
-    """base: doc_id, th, n_shingles, cls of every row; links between classes (a, b)."""
+def near_links(docs: DataFrame, num: int = NUM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """base: doc_id, th, n_shingles, one, two of every row; heads: the number cls of each class (one, two); links between classes (a, b)."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    base = stash(mapped(docs, sketch, "doc_id long, th long, n_shingles long, cls long, regs binary"), "sketch")
+    base = stash(mapped(docs, sketch, "doc_id long, th long, n_shingles long, one long, two long, regs binary"), "sketch")
     full = base.where("n_shingles > 0")
     # one row of each class stands for it; equal sets have equal registers
-    ids = full.groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.max("n_shingles").alias("n"))
-    heads = ids.select("cls", "n", F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th"))
-    own = full.select("doc_id", "th", "regs", F.col("cls").alias("c"))
-    same = (F.col("h.doc_id").eqNullSafe(F.col("o.doc_id"))) & (F.col("h.th") == F.col("o.th"))
-    heads = stash(heads.alias("h").join(own.alias("o"), same & (F.col("h.cls") == F.col("o.c"))).select("h.cls", "h.n", "h.doc_id", "h.th", "o.regs").dropDuplicates(["cls"]), "heads")
+    ids = full.groupBy("one", "two").agg(F.min(F.struct("doc_id", "th")).alias("row"), F.max("n_shingles").alias("n"))
+    same = F.col("h.row.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("h.row.th") == F.col("o.th")) & (F.col("h.one") == F.col("o.one")) & (F.col("h.two") == F.col("o.two"))
+    heads = ids.alias("h").join(full.alias("o"), same).select("h.one", "h.two", "h.n", "o.doc_id", "o.th", "o.regs").dropDuplicates(["one", "two"])
+    heads = stash(heads.withColumn("cls", F.monotonically_increasing_id()), "heads")
     keys = mapped(heads.select("cls", "regs"), bands, "cls long, band long")
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "cls")).alias(f"m{k}") for k in (0, 1)]
     buckets = keys.groupBy("band").agg(F.count("*").alias("k"), F.min("cls").alias("a"), F.max("cls").alias("b"), *marks).where("k > 1")
@@ -296,7 +308,7 @@ def near_links(docs: DataFrame, num: int = NUM) -> tuple[DataFrame, DataFrame]:
     ready = close.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     judged = stash(mapped(ready, lambda x: confirm(x, num), "a long, b long, linked boolean"), "judged")
     links = judged.where("linked").select("a", "b")
-    return base, links.unionByName(_block_search(judged, links, texts, num))
+    return base, heads.select("one", "two", "cls"), links.unionByName(_block_search(judged, links, texts, num))
 
 
 def _bucket_search(keys: DataFrame, buckets: DataFrame, side: DataFrame, num: int) -> DataFrame:
@@ -335,12 +347,13 @@ def _block_search(judged: DataFrame, links: DataFrame, texts: DataFrame, num: in
 
 def near_duplicates(docs: DataFrame, num: int = NUM) -> DataFrame:
     """doc_id, row (a hash of the text), n_shingles, component_id and kept of every row. Pairs link from a similarity of num / DEN on."""
-    base, links = near_links(docs, num)
+    base, heads, links = near_links(docs, num)
     comps = components(stash(links, "links"))
-    low = base.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
-    named = low.join(comps.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    low = base.where("n_shingles > 0").groupBy("one", "two").agg(F.min("doc_id").alias("low"))
+    named = low.join(heads, ["one", "two"]).join(comps.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.join(least, "component").select(F.col("cls").alias("c"), "component_id")
-    out = base.select("doc_id", "th", "n_shingles", "cls").join(named, (F.col("cls") == F.col("c")) & (F.col("n_shingles") > 0), "left")
+    named = named.join(least, "component").select("one", "two", "component_id")
+    same = (F.col("b.one") == F.col("c.one")) & (F.col("b.two") == F.col("c.two")) & (F.col("b.n_shingles") > 0)
+    out = base.drop("regs").alias("b").join(named.alias("c"), same, "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("th").alias("row"), "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id").eqNullSafe(own), F.lit(False)).alias("kept"))
