@@ -3,9 +3,10 @@
 A text is the multiset of its lines. Each line is hashed to a wide vector, vectors are added, each lane modulo a power of
 two, so order does not matter and a line can be inserted or deleted by adding or subtracting its vector (``combine``).
 The vector of a line has two parts:
-* 4 lanes of 32 bits from its 64-bit hashes: they tell equal multisets from different ones;
-* 126 one-bit lanes for each of its word pairs: lane sums, less half the number of pairs, are random projections of the
-  multiset of pairs, so the cosine of two such parts estimates how much text two documents share.
+* 16 lanes of 32 bits, hashed from the line's SHA-256: they tell equal multisets from different ones;
+* 120 one-bit lanes for each of its word pairs, summed in 31 bits each, which no text that a row can hold fills: lane sums,
+  less half the number of pairs, are random projections of the multiset of pairs, so the cosine of two such parts estimates how
+  much text two documents share. A text differs from its edited form within lines, so whole lines alone would tell less.
 
 Null texts are empty. The next document is the next row by doc_id (nulls first), then text; after the last comes the first, so one row
 follows itself. Repeated rows stay. Columns beyond doc_id and text are not read.
@@ -16,12 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LANE_BITS, LANES_PER_SUM, SHIFTS = 20, 3, 20
+LANE_BITS, LANES_PER_SUM, SHIFTS = 31, 2, 30
 LANES = 2 * LANES_PER_SUM * SHIFTS
 MASK = sum(1 << (LANE_BITS * k) for k in range(LANES_PER_SUM))
-WIDE = 4
+WIDE = 16
 SUMS = [f"s{k}" for k in range(2 * SHIFTS)]
-WIDES = [f"w{k}" for k in range(WIDE)]
 
 
 def pair_hashes(text: Column) -> Column:
@@ -30,14 +30,13 @@ def pair_hashes(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, "\n"), line))
 
 
-def wide_lanes(text: Column) -> list[Column]:
-    lines = F.split(text, "\n")
+def wide_lanes(text: Column) -> Column:
+    """The sums of all lines' lanes, each modulo 2**32."""
     mod = F.lit(2**32 - 1)
-
-    def lane(k: int) -> Column:
-        return F.aggregate(lines, F.lit(0).cast("long"), lambda a, p: (a + F.xxhash64(F.lit(k), p).bitwiseAND(mod)).bitwiseAND(mod))
-
-    return [lane(k) for k in range(WIDE)]
+    digests = F.transform(F.split(text, "\n"), lambda p: F.sha2(p, 256))
+    none = F.array(*[F.lit(0).cast("long")] * WIDE)
+    vector = lambda d: F.array(*[F.xxhash64(d, F.lit(k)).bitwiseAND(mod) for k in range(WIDE)])
+    return F.aggregate(F.transform(digests, vector), none, lambda a, v: F.zip_with(a, v, lambda x, y: (x + y).bitwiseAND(mod)))
 
 
 def lanes(sums: Column) -> Column:
@@ -74,12 +73,12 @@ def combine(a: DataFrame, b: DataFrame, sign: int = 1) -> DataFrame:
 
 def fingerprints(texts: DataFrame, keys: list[str], first: list[str] = ()) -> DataFrame:
     """texts: keys, which tell each row from others, text, and columns to carry (first). Adds n, wide, sums. The row's lines are read once for the wide lanes; its word pairs become rows that are summed before any exchange."""
-    read = texts.select(*keys, *first, *[c.alias(w) for c, w in zip(wide_lanes(F.col("text")), WIDES, strict=True)], "text")
-    pairs = read.select(*keys, *first, *WIDES, F.explode(pair_hashes(F.col("text"))).alias("h"))
+    read = texts.select(*keys, *first, wide_lanes(F.col("text")).alias("wide"), "text")
+    pairs = read.select(*keys, *first, "wide", F.explode(pair_hashes(F.col("text"))).alias("h"))
     second = pairs.withColumn("g", F.xxhash64("h"))
     sums = [F.try_sum(F.shiftright(c, k).bitwiseAND(F.lit(MASK))).alias(SUMS[i * SHIFTS + k]) for i, c in enumerate(("h", "g")) for k in range(SHIFTS)]
-    made = second.groupBy(*keys, *first, *WIDES).agg(F.count("*").alias("n"), *sums)
-    return made.select(*keys, *first, "n", F.array(*WIDES).alias("wide"), F.array(*[F.coalesce(s, F.lit(0).cast("long")) for s in SUMS]).alias("sums"))
+    made = second.groupBy(*keys, *first, "wide").agg(F.count("*").alias("n"), *sums)
+    return made.select(*keys, *first, "n", "wide", F.array(*[F.coalesce(s, F.lit(0).cast("long")) for s in SUMS]).alias("sums"))
 
 
 def bounds(docs: DataFrame, buckets: int) -> list[int]:
@@ -108,7 +107,8 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 2000) -> DataFrame:
     if not starts:
         starts = [(0, 0)]
     begin = spark.createDataFrame(starts, "b_id long, bucket int")  # one row for each range, 20,000 at most
-    ghosts = docs.join(F.broadcast(begin), F.col("doc_id").eqNullSafe(F.col("b_id"))).select("bucket", F.lit(1).alias("ghost"), "doc_id", "text")
+    ghosts = docs.join(F.broadcast(begin), F.col("doc_id").eqNullSafe(F.col("b_id"))).groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
+    ghosts = ghosts.select("bucket", F.lit(1).alias("ghost"), "doc_id", "text")
     order = Window.partitionBy("bucket").orderBy("ghost", "doc_id", "text")
     both = own.unionByName(ghosts)
     return both.withColumn("rn", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))

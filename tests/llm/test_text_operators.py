@@ -252,6 +252,127 @@ def test_fingerprints(spark, docs):
     assert fingerprint.compare_with_edited(docs.limit(0)).count() == 0
 
 
+def brute_fingerprint(text):
+    """The wide lanes, the number of word pairs, and the centred projections, in plain Python."""
+    import xxhash
+
+    wide = [0] * fingerprint.WIDE
+    for line in text.split("\n"):
+        digest = hashlib.sha256(line.encode()).hexdigest().encode()
+        for k in range(fingerprint.WIDE):
+            h = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), xxhash.xxh64_intdigest(digest, 42))
+            wide[k] = (wide[k] + (h & 0xFFFFFFFF)) & 0xFFFFFFFF
+    pairs = []
+    for line in text.split("\n"):
+        w = line.split(" ")
+        for i, x in enumerate(w):
+            h = xxhash.xxh64_intdigest(x.encode(), 42)
+            pairs.append(xxhash.xxh64_intdigest(w[i + 1].encode(), h) if i + 1 < len(w) else h)
+    lanes = np.zeros(fingerprint.LANES)
+    for h in pairs:
+        at = 0
+        for own in (h, xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)):
+            for k in range(fingerprint.SHIFTS):
+                for j in range(fingerprint.LANES_PER_SUM):
+                    lanes[at] += own >> (k + j * fingerprint.LANE_BITS) & 1
+                    at += 1
+    return wide, len(pairs), 2 * lanes - len(pairs)
+
+
+def test_fingerprints_by_brute_force(spark, docs):
+    rows = sorted((i, t or "") for i, t in enumerate(TEXTS) if t != LONG)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.compare_with_edited(df).collect()}
+    want = [brute_fingerprint(t) for _, t in rows]
+
+    def near(a, b):
+        if a[1] == b[1] and (a[2] == b[2]).all():
+            return 1.0
+        norm = np.sqrt((a[2] ** 2).sum()) * np.sqrt((b[2] ** 2).sum())
+        return max(0.0, min(1.0, float(a[2] @ b[2] / norm))) if norm else 0.0
+
+    for k, (i, t) in enumerate(rows):
+        after, cut = rows[(k + 1) % len(rows)][1], len(t) // 4
+        edited = brute_fingerprint(t[: len(t) - cut] + after[:cut])
+        assert got[i].fingerprint.split("-")[:2] == ["".join(f"{x:08x}" for x in want[k][0]), f"{want[k][1]:x}"]
+        assert got[i].edited_fingerprint.split("-")[:2] == ["".join(f"{x:08x}" for x in edited[0]), f"{edited[1]:x}"]
+        assert abs(got[i].near_edited - near(want[k], edited)) < 1e-9 and abs(got[i].near_next - near(want[k], want[(k + 1) % len(rows)])) < 1e-9
+
+
+def test_languages_by_brute_force():
+    """Code lengths against prediction by partial matching with plain dictionaries of contexts."""
+    r = random.Random(8)
+    samples = {"xx": ["".join(r.choice("abc d") for _ in range(200)).encode() for _ in range(3)], "yy": ["".join(r.choice("abe f") for _ in range(200)).encode() for _ in range(3)]}
+    model = language.Model(samples)
+    counts = {lang: {} for lang in samples}
+    pad = b"\n" * language.ORDER
+    for lang, texts in samples.items():
+        for t in texts:
+            t = pad + t.translate(language.LOWER_TABLE)
+            for i in range(language.ORDER, len(t)):
+                for n in range(language.ORDER + 1):
+                    own = counts[lang].setdefault(t[i - n : i], {})
+                    own[t[i]] = own.get(t[i], 0) + 1
+
+    def bits(lang, text):
+        text, out = pad + text.translate(language.LOWER_TABLE), 0.0
+        for i in range(language.ORDER, len(text)):
+            for n in range(language.ORDER, -1, -1):
+                own = counts[lang].get(text[i - n : i])
+                if own is None:
+                    continue
+                total, kinds = sum(own.values()), len(own)
+                if text[i] in own:
+                    out -= np.log2(own[text[i]] / (total + kinds))
+                    break
+                out -= np.log2(kinds / (total + kinds))
+            else:
+                out += 8
+        return out
+
+    texts = [b"abc", b"AbE f zq", b"", "ß日".encode(), bytes("".join(r.choice("abcdef z") for _ in range(500)), "ascii"), b"ab" * 40]
+    got = model.bits(texts)
+    for i, t in enumerate(texts):
+        assert np.allclose(got[i], [bits(lang, t) for lang in model.langs], rtol=1e-4, atol=1e-3)
+
+
+def test_language_of_long_documents_only(spark):
+    df = spark.createDataFrame([(i, "abc " * 100, "xx") for i in range(6)] + [(10, "zyx " * 1000, "yy"), (11, "zyx " * 1000, "yy"), (12, "zyx " * 1000, "yy"), (20, "zyx zyx", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in language.predict(df, language.learn(df, 500)).collect()}[20] == "yy"
+
+
+def test_equal_code_lengths_go_to_the_first_language(spark):
+    df = spark.createDataFrame([(i, "abc abd", lang) for i in range(20) for lang in ("yy", "xx")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language.predict(df, language.learn(df)).collect()} == {"xx"}
+
+
+def test_long_words_that_weak_hashes_confuse(spark):
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(0, one), (1, one.translate(str.maketrans("ab", "ba"))), (2, one)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    """Columns named like those that operators use inside, null ids, and one row many times."""
+    names = "doc_id long, text string, lang string, row_ int, spans string, th_ int, th int, score int, lang_pred string, bits int, a int, h int, row int, hits int, kept int"
+    rows = [(None if k == 8 else 7 if k < 5 else k, PASSAGE if k < 6 else f"free of it {k}" if k < 9 else None, "en", *[k] * 1, "s", k, k, k, "x", k, k, k, k, k, k) for k in range(10)]
+    df = spark.createDataFrame(rows, names)
+    bench = spark.createDataFrame([(1, " ".join(PASSAGE.split()[:20]), 5)], "item_id long, text string, row_ int")
+    for out, stay in ((decontaminate.clean(df, bench), range(6, 10)), (repeats.clean(df), range(10))):
+        assert out.columns == df.columns
+        assert sorted((r.th_, r.th, r.kept) for r in out.collect()) == [(k, k, k) for k in stay]
+    assert language.predict(df, language.learn(df)).count() == 10
+    got = repeats.report(repeats.remove_repeats(df)).collect()
+    want = repeats.brute_force([r[1] for r in rows])
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
+    near = minhash.near_duplicates(df).collect()
+    assert len(near) == 10 and sum(r.component_id == 5 for r in near) == 6 and sum(r.kept for r in near if r.component_id == 5) == 1
+    for out in (repeats.clean(df.limit(0)), decontaminate.clean(df.limit(0), bench)):
+        assert out.count() == 0
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
