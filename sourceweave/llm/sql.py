@@ -1,6 +1,6 @@
 """DuckDB SQL for those queries that SQL can express, written apart from the operators."""
 
-from .license import BASE, MORE
+from .license import BASE, MORE, RARE, SLACK, TEMPLATES, VOTES
 from .urls import RULES
 
 WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -26,18 +26,31 @@ def _values(rows: list[tuple]) -> str:
 
 
 _PHRASES = [(p, label, len(p.split()), p in BASE) for p, label in {**MORE, **BASE}.items()]
+_TEMPLATE_WORDS = [(label, i, w, len(t.split())) for label, (_, t) in TEMPLATES.items() for i, w in enumerate(t.split())]
+_MANDATORY = [(label, p) for label, (phrases, _) in TEMPLATES.items() for p in phrases]
+_KNOWN = sorted({w for p in {**MORE, **BASE} for w in p.split()} | {w for _, _, w, _ in _TEMPLATE_WORDS})
 OP5 = rf"""
-WITH phrase AS (SELECT * FROM (VALUES {_values([(p, a, n, str(b).lower()) for p, a, n, b in _PHRASES])}) AS t(p, label, n, base)),
+WITH tw AS (SELECT * FROM (VALUES {_values(_TEMPLATE_WORDS)}) AS t(label, pos, word, size)),
+key AS (SELECT * FROM (VALUES {_values(_MANDATORY)}) AS t(label, p)),
+phrase AS (SELECT * FROM (VALUES {_values([(p, a, n, str(b).lower()) for p, a, n, b in _PHRASES])}) AS t(p, label, n, base)),
 doc AS (SELECT doc_id, row_number() OVER () AS r, {WORDS.format("text")} AS w FROM documents),
 maybe AS (SELECT r, w, p, label, n, base = 'true' AS base FROM doc, phrase WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || p || ' ')),
-place AS (SELECT r, i - 1 AS start, label, n, base FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM maybe) WHERE array_to_string(w[i:i + n - 1], ' ') = p),
+place AS (SELECT r, i - 1 AS start, label, n, base, p FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM maybe) WHERE array_to_string(w[i:i + n - 1], ' ') = p),
+spot AS (SELECT r, i - 1 AS i, w[i] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM doc) WHERE list_contains({_KNOWN}, w[i])),
+df AS (SELECT word, count(DISTINCT r) AS df FROM spot GROUP BY word),
+rare AS (SELECT r, word FROM (SELECT r, word, row_number() OVER (PARTITION BY r ORDER BY df, word) AS k FROM (SELECT DISTINCT r, word FROM spot) JOIN df USING (word)) WHERE k <= {RARE}),
+asked AS (SELECT r, label, count(*) AS looked_up FROM rare JOIN tw USING (word) GROUP BY r, label),
+vote AS (SELECT r, label, shift, (i - pos + size + shift) // {SLACK} AS bucket, count(DISTINCT pos) AS votes FROM spot JOIN rare USING (r, word) JOIN tw USING (word), (VALUES (0), ({SLACK // 2})) AS s(shift) GROUP BY ALL),
+whole AS (SELECT r, label FROM (SELECT DISTINCT r, p FROM place) JOIN key USING (p) GROUP BY r, label HAVING count(*) = (SELECT count(*) FROM key k WHERE k.label = any_value(key.label))),
+template AS (SELECT r, label FROM (SELECT r, label, max(votes) AS votes FROM vote GROUP BY r, label) JOIN asked USING (r, label) JOIN whole USING (r, label) WHERE votes >= {VOTES} AND 2 * votes >= looked_up),
+named AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM place UNION SELECT r, label FROM template) GROUP BY r),
 sums AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
-                string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, sum(n) AS covered
+                string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, sum(n) AS covered
          FROM place GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
        CAST(CASE WHEN covered IS NULL THEN 0 ELSE least(1.0, CAST(covered AS DOUBLE) / len(w)) END AS DOUBLE) AS score
-FROM doc LEFT JOIN sums USING (r)
+FROM doc LEFT JOIN sums USING (r) LEFT JOIN named USING (r)
 """
 
 OP8 = rf"""

@@ -203,6 +203,31 @@ def test_licenses(docs, empty):
     assert license.report(license.scan(empty)).count() == 0
 
 
+def test_license_templates(spark, tmp_path):
+    """The scan against its SQL over whole notices, notices with inserted words, scattered words and phrases alone."""
+    import duckdb
+
+    from sourceweave.llm.sql import OP5
+
+    r = random.Random(9)
+    notices = [t for _, t in license.TEMPLATES.values()]
+    shuffled = notices[0].split()
+    r.shuffle(shuffled)
+    inserted = notices[2].split()
+    for k in (10, 30, 40):
+        inserted.insert(k, "indeed")
+    texts = [*notices, *[t.upper().replace(" ", " \n* ", 5) for t in notices], " ".join(shuffled), " ".join(inserted), "general public license", "no gpl: all rights reserved, CC BY; cc-by", *[prose(50) + " " + notices[k] + " " + prose(30) for k in range(3)], " ".join(notices[1].split()[:9]), *TEXTS, "the " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(duckdb.sql(OP5).fetchall())
+    got = sorted(map(tuple, license.report(license.scan(df)).collect()))
+    assert got == want
+    labels = {x[0]: x[6].split(",") for x in got}
+    assert all(label in labels[k] and label in labels[k + 5] for k, label in enumerate(license.TEMPLATES))
+    assert "apache-notice" in labels[11] and "mit-notice" not in labels[10] and labels[12] == ["gpl"] and "bsd-notice" not in labels[17]
+
+
 def test_languages(spark, empty):
     sets = {"xx": "abc", "yy": "def"}
     rows = [(i, "".join(rng.choice(sets[lang] + " ") for _ in range(80)), lang) for i in range(60) for lang in [("xx", "yy")[i % 2]]] + [(60, None, "xx"), (61, "12 34", "yy"), (62, "", None), (63, "abc", None)]
