@@ -57,7 +57,7 @@ TEMPLATES = {
     ),
     "mpl-notice": (["mozilla public license"], "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
 }
-RARE, VOTES, SLACK = 12, 8, 16
+RARE, VOTES, SLACK = 24, 10, 16
 
 
 def words(text: Column) -> Column:
