@@ -23,7 +23,8 @@ from ..operators.traverse import level
 from ..schema import FRAGMENT, SCORES
 from ..sources import listing
 
-STEP = 1_000_000
+#: Bits of a fragment's place in its file, and with those of the file's number, in an order key of 63 bits.
+PLACE_BITS, FILE_BITS = 28, 59
 
 
 @dataclass
@@ -45,7 +46,7 @@ def read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
 
 
 def _ord(phase: int):
-    return F.lit(phase * STEP * STEP) + F.col("file_idx").cast("long") * STEP + F.col("pos")
+    return F.lit(phase << FILE_BITS) + F.col("file_idx").cast("long") * (1 << PLACE_BITS) + F.col("pos")
 
 
 def fragments(spark: SparkSession, root: str, paths: list[str], with_manifests: bool = True, with_cargo: bool = False) -> DataFrame:
@@ -83,7 +84,7 @@ def resolve_all(found: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFram
     index = resolve.index_links(files)
 
     own = kind("node").select("id", "label", "file_type", "source_file", F.col("loc").alias("source_location"), "computed_name", _ord(0).alias("ord"))
-    shift = lambda df, phase: df.withColumn("ord", F.col("ord") + phase * STEP * STEP)
+    shift = lambda df, phase: df.withColumn("ord", F.col("ord") + F.lit(phase << FILE_BITS))
     nodes = own.unionByName(shift(import_nodes, 1), allowMissingColumns=True).unionByName(shift(module_nodes, 2), allowMissingColumns=True)
     edges = kind("edge").select("source", "target", "relation", "confidence", "source_file", F.col("loc").alias("source_location"), "weight", "confidence_score", _ord(0).alias("ord"))
     for phase, part in enumerate([guided.drop("callee"), plain, import_edges, module_edges, docs, index], 1):

@@ -77,6 +77,12 @@ def triangles(spark):
     return make(spark, [(x, x, "f") for x in ("a1", "a2", "a3", "b1", "b2", "b3")], [(*p, "calls") for p in pairs])
 
 
+def test_a_path_of_many_hops(spark):
+    ids = [f"n{k:03d}" for k in range(72)]
+    e = spark.createDataFrame([(a, b, "calls", "EXTRACTED") if k % 2 else (b, a, "calls", "EXTRACTED") for k, (a, b) in enumerate(zip(ids, ids[1:]))], "source string, target string, relation string, confidence string")
+    assert traverse.shortest_path(e, ids[0], ids[71]) == ids
+
+
 def test_communities(spark, monkeypatch):
     n, e = triangles(spark)
     want = {0: {"a1", "a2", "a3"}, 1: {"b1", "b2", "b3"}}
@@ -91,6 +97,9 @@ def test_communities(spark, monkeypatch):
     co = spark.createDataFrame([(0, "a1"), (0, "a2"), (0, "a3"), (1, "b2"), (2, "b1"), (3, "a2"), (3, "b2")], "community int, id string")
     assert {r.community: r.cohesion for r in analytics.cohesion(e, co).collect()} == {0: 1.0, 1: 1.0, 2: 1.0, 3: 0.0}
     spread = groups(cluster.louvain_rounds(n.select("id"), cluster.simple_edges(e)))
+    pairs = cluster.simple_edges(e)
+    local = cluster.louvain_local([r.id for r in n.select("id").collect()], [(r.u, r.v) for r in pairs.collect()])
+    assert local == {r.id: r.community for r in cluster.louvain_rounds(n.select("id"), pairs).collect()}
     assert sorted(map(sorted, spread.values())) == [["a1", "a2", "a3"], ["b1", "b2", "b3"]]
     old = spark.createDataFrame([(0, "a1"), (0, "a2"), (0, "a3"), (1, "b1"), (1, "b2")], "community int, id string")
     new = spark.createDataFrame([(5, "a1"), (5, "a2"), (9, "b1"), (9, "b2"), (9, "a3"), (7, "z")], "community int, id string")
