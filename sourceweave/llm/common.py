@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch between the JVM and Python.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Words are runs of digits, a-z and everything beyond ASCII; each byte of UTF-8 tells its class.
@@ -45,10 +45,24 @@ def trim() -> None:
         pass
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow over batches that bytes bound (one row at least), whose workers hold nothing afterwards but what they remember on purpose."""
+#: What a worker remembers between tasks, by what it is for.
+_KEPT: dict[str, object] = {}
+
+
+def claim(key: str, make: Callable[[], object]) -> object:
+    """The worker's one object of this key, which later tasks of the same operator find again."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str | None = None) -> DataFrame:
+    """mapInArrow over batches that bytes bound (one row at least). A task begins by dropping what its worker remembers for other operators
+    (all but what was claimed as keeps) and ends by giving memory back."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key in [k for k in _KEPT if k != keeps]:
+            del _KEPT[key]
         try:
             yield from run(batches)
         finally:

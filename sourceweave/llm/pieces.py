@@ -22,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import byte_parts, mapped, ranges
-from .memory import Memory, claim
+from .common import byte_parts, claim, mapped, ranges
+from .memory import Memory
 
 BLANK = "▁"
 #: Parts that a worker remembers; characters joined into one indexed text; text that is encoded at a time.
-MEMORY, INDEX_CHARS, BATCH_BYTES = 400_000, 400_000, 4_000_000
+MEMORY, INDEX_CHARS, BATCH_BYTES = 300_000, 150_000, 2_000_000
 #: Parts of more characters are relaxed one at a time.
 LONG = 64
 
@@ -318,7 +318,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), lists], ["doc_id", "text", "ids"])
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, text string, ids array<int>")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, text string, ids array<int>", f"pieces {path}")
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:
@@ -343,4 +343,4 @@ def report(docs: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "same"],
                 )
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, same boolean")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, same boolean", f"pieces {path}")

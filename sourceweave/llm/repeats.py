@@ -135,6 +135,7 @@ def find_runs(key: list[str], level: int):
                         [*(batch.column(k).take(pa.array(row)) for k in [*key, "n"]), pa.array(r["h"].view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(s.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(to.astype(np.int32))],
                         [*key, "n", "run_h", "run_c", "run_d", "s", "more", "off"],
                     )
+        _POWERS.clear()
 
     return run
 

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_parts, mapped, ranges, utf8
-from .memory import Memory, claim
+from .common import byte_parts, claim, mapped, ranges, utf8
+from .memory import Memory
 
 #: White space beyond ASCII (a fixed list of the Unicode standard), and separators that only some take for white space.
 ODD = re.compile("[\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -159,7 +159,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = END_ID
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     (
-        mapped(dealt.select("doc_id", "text"), encode_shards(tokenizer, end_id), SCHEMA).write.mode("overwrite")
+        mapped(dealt.select("doc_id", "text"), encode_shards(tokenizer, end_id), SCHEMA, f"tokens {tokenizer}").write.mode("overwrite")
         .option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", "1000").option("orc.stripe.size", str(16 << 20)).option("orc.create.index", "true").orc(out)
     )
