@@ -304,7 +304,7 @@ def repeated_starts(texts: DataFrame, key: list[str], level: int = 0) -> DataFra
             each = stash(mapped(large, hash_suffixes, "h long, c long, d long, n long, x long, y long, k int"), "suffixes")
             twice = each.groupBy("x", "y").agg(F.sum("n").alias("t")).where("t > 1").drop("t")
             deeper = each.join(twice, ["x", "y"]).select(*CONTENT, F.array(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))).alias("spans"))
-        flagged = flagged.unionByName(deeper)
+        flagged = flagged.unionByName(stash(deeper, "deeper"))  # else the plans of all levels are one
     flagged = flagged.groupBy(*CONTENT).agg(F.expr(MAXIMAL).alias("spans"))
     same = (F.col("r.run_h") == F.col("f.h")) & (F.col("r.run_c") == F.col("f.c")) & (F.col("r.run_d") == F.col("f.d"))
     hits = found.select(*key, *[f"run_{k}" for k in CONTENT], "s").alias("r").join(flagged.alias("f"), same)
