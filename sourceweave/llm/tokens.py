@@ -70,26 +70,30 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.chain = chain
+        vocabulary = self.library.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte is one character of a byte-level piece
+        self.size[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.memory = Memory(strings, self._learn)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Words after a blank are encoded many at a time and told apart by their numbers."""
+        """Words after a blank are encoded many at a time and told apart by the bytes of their ids."""
         spaced = [SPACED.match(s) is not None for s in new]
         chain = [s for s, yes in zip(new, spaced, strict=True) if yes]
         parts = [chain[a : a + self.chain] for a in range(0, len(chain), self.chain)]
-        encoded = self.library.encode_batch([b"".join(p).decode() for p in parts], add_special_tokens=False)
-        ids = [np.array(e.ids, np.int32) for e in encoded]
-        many = [np.bincount(e.word_ids) for e in encoded]
-        if any(len(m) != len(p) for m, p in zip(many, parts, strict=True)):
+        ids = np.concatenate([np.zeros(0, np.int32), *self._ids([b"".join(p).decode() for p in parts])])
+        ends, upto = np.cumsum([len(w) for w in chain]), np.cumsum(self.size[ids])
+        last = np.searchsorted(upto, ends)  # the id that ends each word
+        if len(chain) and (last[-1] >= len(ids) or (upto[last] != ends).any()):
             raise ValueError("the library cuts words in another way")
+        many = np.diff(np.concatenate(([-1], last)))
         rest = self._ids([s.decode() for s, yes in zip(new, spaced, strict=True) if not yes])
         order = np.argsort(np.concatenate((np.flatnonzero(spaced), np.flatnonzero(~np.array(spaced, bool)))))
-        counts = np.concatenate([*many, np.array([len(v) for v in rest], np.int64)]).astype(np.int64)
+        counts = np.concatenate((many, np.array([len(v) for v in rest], np.int64))).astype(np.int64)
         first = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        return np.concatenate([*ids, *rest])[ranges(first[order], counts[order])], counts[order]
+        return np.concatenate([ids, *rest])[ranges(first[order], counts[order])], counts[order]
 
     def _whole(self, texts: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Which texts can't be cut."""
