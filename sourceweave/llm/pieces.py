@@ -27,7 +27,7 @@ from .memory import Memory
 
 BLANK = "▁"
 #: Parts that a worker remembers; characters joined into one indexed text; text that is encoded at a time.
-MEMORY, INDEX_CHARS, BATCH_BYTES = 300_000, 150_000, 2_000_000
+MEMORY, INDEX_CHARS, BATCH_BYTES = 150_000, 150_000, 2_000_000
 #: Parts of more characters are relaxed one at a time.
 LONG = 64
 
