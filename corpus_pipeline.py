@@ -41,7 +41,7 @@ def _with_chars(docs: DataFrame) -> DataFrame:
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings that also stand elsewhere are cut from every text; the documents stay."""
+    """Strings of 400 bytes and passages of 50 words that also stand elsewhere are cut from every text; the documents stay."""
     return _with_chars(repeats.clean(docs.select(*DOCUMENTS)))
 
 

@@ -15,6 +15,10 @@ those of the string. Neighbouring suffixes with one minimizer form a run, so a d
    another hash, which parts those that differ; what falls together again goes on so, LEVELS times. What then is left in one
    bucket, contents that differ in a few bytes only, is counted suffix by suffix, by BLAKE2b of the 400 bytes.
 
+Passages of WORDS words may be shorter than 400 bytes. ``clean`` also cuts those that stand elsewhere, whatever their bytes: the same cut
+into runs is made on the texts' words, by minimizers of grams of words, and the passages of contents that share a bucket are counted by
+128 bits of BLAKE2b; equal passages always have one minimizer, so a bucket is counted by itself, and one of over GROUP contents by all tasks.
+
 Repeated suffixes go back to their documents, which drop each byte they cover. Strings never cross documents.
 Null texts are empty, texts under 400 bytes lose nothing; an empty table gives an empty table. Equal rows, too, are documents
 of their own and so repeat each other. Long texts are cut into overlapping parts of LONG bytes, which lose no suffix.
@@ -24,6 +28,8 @@ Documents are told apart by doc_id (which may be null) and a hash of the text; c
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +41,9 @@ from .common import byte_parts, mapped, ranges, split_by, stash, utf8
 from .minhash import _BYTE, _INVERSE, _ODD, _STEP, mix, powers
 
 LENGTH, GRAM = 400, 64
+#: Words of a passage, and those of the grams that are its minimizers. Words are what ASCII white space parts.
+WORDS, WORD_GRAM = 50, 8
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Contents that are sorted together, and how often larger buckets are cut anew.
 GROUP, LEVELS = 512, 3
 #: Bytes of text that are cut into runs, or sorted, at a time; texts beyond LONG are cut in parts.
@@ -58,9 +67,9 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return a[:n], b[:n]
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Of the polynomial hash: that of data[i:j] is (out[j] - out[i]) * inverse**i."""
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _power(len(data))[0], dtype=np.uint64)))
+def prefix_sums(codes: np.ndarray) -> np.ndarray:
+    """Of the polynomial hash: that of codes[i:j] is (out[j] - out[i]) * inverse**i."""
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * _power(len(codes))[0], dtype=np.uint64)))
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -75,12 +84,12 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def runs(data: np.ndarray, first: np.ndarray, level: int = 0, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Runs of suffixes with one minimizer. first: offsets of the texts in data. s, e: the first and last suffix of a run; p: the minimizer's place; h: its hash."""
-    n = len(data)
+def runs(codes: np.ndarray, first: np.ndarray, level: int = 0, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
+    """Runs of suffixes with one minimizer. codes: a number for each byte or word; first: offsets of the texts in them. s, e: the first and last suffix of a run; p: the minimizer's place; h: its hash."""
+    n = len(codes)
     if n < length:
         return {k: np.zeros(0, np.int64) for k in ("doc", "s", "e", "p", "h")}
-    total = prefix_sums(data)
+    total = prefix_sums(codes)
     inverse = _power(n)[1]
     g = mix((total[gram:] - total[:-gram]) * inverse[: n - gram + 1] + _STEP * np.uint64(level))
     low = np.uint64(2**POS - 1)
@@ -105,13 +114,13 @@ def digests(data: np.ndarray, a: np.ndarray, b: np.ndarray, salt: np.ndarray) ->
     return np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
 
 
-def text_parts(off: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cuts texts into parts that hold each suffix of 400 bytes once: the number of the text, start and stop of each part."""
+def text_parts(off: np.ndarray, long: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts texts into parts that hold each suffix of 400 bytes (or so many words) once: the number of the text, start and stop of each part."""
     size = np.diff(off)
-    many = np.maximum(1, -(-(size - LENGTH + 1) // long))
+    many = np.maximum(1, -(-(size - length + 1) // long))
     doc = np.repeat(np.arange(len(size)), many)
     start = off[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * long
-    return doc, start, np.minimum(start + long + LENGTH - 1, off[1:][doc])
+    return doc, start, np.minimum(start + long + length - 1, off[1:][doc])
 
 
 def find_runs(key: list[str], level: int):
@@ -126,7 +135,7 @@ def find_runs(key: list[str], level: int):
                     begin, size = start[a:b], (stop - start)[a:b]
                     own = data[ranges(begin, size)] if b - a > 1 else data[begin[0] : stop[a]]
                     first = np.concatenate(([0], np.cumsum(size)))
-                    r = runs(own, first, level)
+                    r = runs(_BYTE[own], first, level)
                     row = doc[a:b][r["doc"]]
                     more, to = r["e"] - r["s"], r["p"] - r["s"]
                     c = digests(own, r["s"], r["e"] + LENGTH, (to << 32) + more)
@@ -140,6 +149,63 @@ def find_runs(key: list[str], level: int):
     return run
 
 
+def word_places(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that follow each other in data: start and stop of each word, and len+1 offsets of the texts among the words."""
+    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    begin, end = solid.copy(), solid.copy()
+    begin[1:] &= ~solid[:-1]
+    end[:-1] &= ~solid[1:]
+    there = np.diff(off) > 0
+    a, b = off[:-1][there], off[1:][there] - 1
+    begin[a], end[b] = solid[a], solid[b]
+    start = np.flatnonzero(begin)
+    return start, np.flatnonzero(end) + 1, np.searchsorted(start, off)
+
+
+def word_codes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A number for each word, from its length and first 16 bytes. Words that share it may share a minimizer, and are not taken as equal."""
+    spare = np.concatenate((data, np.zeros(16, np.uint8)))
+    eight = np.ndarray(len(data) + 9, "<u8", spare, strides=(1,))
+    size = stop - start
+    code = size.astype(np.uint64)
+    for k in (0, 8):
+        held = np.clip(size - k, 0, 8)
+        own = eight[start + k] << ((8 - np.maximum(held, 1)) * 8).astype(np.uint64)
+        code = mix(code * _STEP + np.where(held > 0, own, np.uint64(0)))
+    return code
+
+
+def find_passages(key: list[str]):
+    """Of rows with a key and text: the runs of passages of each text. s and more count words; at and size are the bytes where a run's words stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in byte_parts(whole, BATCH):
+                data, off = utf8(batch.column("text"))
+                data, off = data[off[0] : off[-1]], off - off[0]
+                start, stop, words = word_places(data, off)
+                codes = word_codes(data, start, stop)
+                spaced = np.concatenate((data, np.zeros(1, np.uint8)))[ranges(start, stop - start + 1)]
+                place = np.concatenate(([0], np.cumsum(stop - start + 1)))
+                spaced[place[1:] - 1] = 32  # any white space is as good
+                doc, a, b = text_parts(words, BATCH, WORDS)
+                for i, j in _spread(b - a, 2 * BATCH):
+                    begin, size = a[i:j], (b - a)[i:j]
+                    own = ranges(begin, size)
+                    r = runs(codes[own], np.concatenate(([0], np.cumsum(size))), 0, WORDS, WORD_GRAM)
+                    row, s, more = doc[i:j][r["doc"]], own[r["s"]], r["e"] - r["s"]
+                    e = s + more + WORDS
+                    c = digests(spaced, place[s], place[e], ((r["p"] - r["s"]) << 32) + more)
+                    ints = (s - words[row], more, start[s] - off[row], stop[e - 1] - start[s])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(k).take(pa.array(row)) for k in key), pa.array(r["h"].view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1]), *(pa.array(x.astype(np.int32)) for x in ints)],
+                        [*key, "run_h", "run_c", "run_d", "s", "more", "at", "size"],
+                    )
+        _POWERS.clear()
+
+    return run
+
+
 def _spread(size: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Ranges of neighbours of about so many bytes."""
     upto, out, a = np.concatenate(([0], np.cumsum(size))), [], 0
@@ -262,7 +328,63 @@ def hash_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([*take, pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array((i - off[:-1][seg]).astype(np.int32))], ["h", "c", "d", "n", "x", "y", "k"])
 
 
+def passage_digests(text: bytes) -> list[bytes]:
+    """128 bits of BLAKE2b of each WORDS words of a content."""
+    words = text.split()
+    line, at, hashed = b" ".join(words), [0], hashlib.blake2b
+    for w in words:
+        at.append(at[-1] + len(w) + 1)
+    return [hashed(line[i : j - 1], digest_size=16).digest() for i, j in zip(at, at[WORDS:])]  # noqa: B905
+
+
+def count_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by bucket and content: the passages of single contents that stand twice in their bucket."""
+
+    def done(rows: list[tuple]) -> list[tuple]:
+        found, times = [passage_digests(r[4]) for r in rows], Counter()
+        for r, own in zip(rows, found, strict=True):
+            for x in own:
+                times[x] += r[3]
+        out = []
+        for r, own in zip(rows, found, strict=True):
+            edges = np.flatnonzero(np.diff([0, *(times[x] > 1 for x in own), 0])).tolist() if r[3] == 1 else []
+            if edges:
+                out.append((*r[:3], [{"a": a, "b": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]))
+        return out
+
+    def sent(out: list[tuple]) -> pa.RecordBatch:
+        spans = pa.array([r[3] for r in out], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+        return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], pa.int64()) for i in range(3)), spans], ["h", "c", "d", "spans"])
+
+    rows, out = [], []
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in ("h", "c", "d", "n", "text")), strict=True):
+            if rows and row[:3] == rows[-1][:3]:
+                continue  # from an equal row
+            if rows and row[0] != rows[-1][0]:
+                out += done(rows) if len(rows) > 1 else []
+                rows = []
+                if len(out) > 10_000:
+                    yield sent(out)
+                    out = []
+            rows.append(row)
+    yield sent(out + (done(rows) if len(rows) > 1 else []))
+
+
+def hash_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each passage of contents: its digest, and its place k."""
+    for whole in batches:
+        for batch in byte_parts(whole, 100_000):
+            found = [passage_digests(t) for t in batch.column("text").to_pylist()]
+            many = np.array([len(x) for x in found])
+            seg = pa.array(np.repeat(np.arange(len(many)), many))
+            x = np.frombuffer(b"".join(y for own in found for y in own), np.int64).reshape(-1, 2)
+            take = [batch.column(c).take(seg) for c in ("h", "c", "d", "n")]
+            yield pa.RecordBatch.from_arrays([*take, pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(ranges(np.zeros(len(many), np.int64), many).astype(np.int32))], ["h", "c", "d", "n", "x", "y", "k"])
+
+
 CONTENT = ["h", "c", "d"]
+SEGMENT = "h long, c long, d long, n long, off int, text binary"
 SPANS = "array<struct<a:int,b:int>>"
 #: Of ranges (a, b), those that they join to.
 MAXIMAL = f"""aggregate(array_sort(flatten(collect_list(spans))), cast(array() as {SPANS}), (m, x) -> CASE WHEN size(m) > 0 AND element_at(m, -1).b >= x.a
@@ -277,6 +399,29 @@ def _same(key: list[str], left: str, right: str) -> Column:
     return out
 
 
+def _segments(texts: DataFrame, key: list[str], contents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The bytes of contents whose minimizer others have too, one copy or more of each: those of small buckets, and those of large ones, if any, one copy of each."""
+    shared = contents.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    wanted = contents.join(shared, "h").withColumn("big", F.col("m") > GROUP)
+    ask = F.collect_list(F.struct(*CONTENT, F.least("n", F.lit(2).cast("long")).alias("n"), "s", "more", "off")).alias("wants")
+    asked = stash(wanted.groupBy(*[F.col(f"own_{k}").alias(k) for k in key], "big").agg(ask), "asked")
+    near, _ = split_by(texts, F.xxhash64(*key), asked.select(F.xxhash64(*key).alias("k")))
+    with_text = asked.alias("a").join(near.alias("t"), _same(key, "a", "t")).select("t.text", "a.wants", "a.big")
+    small = mapped(with_text.where("not big").select("text", "wants"), cut_out, SEGMENT)
+    if asked.where("big").isEmpty():
+        return small, None
+    return small, stash(mapped(with_text.where("big").select("text", "wants"), cut_out, SEGMENT).dropDuplicates(CONTENT), "large")
+
+
+def _places(found: DataFrame, flagged: DataFrame, key: list[str]) -> DataFrame:
+    """key and spans: where in its text each run that was found has the ranges of starts that were flagged for its content."""
+    flagged = flagged.groupBy(*CONTENT).agg(F.expr(MAXIMAL).alias("spans"))
+    same = (F.col("r.run_h") == F.col("f.h")) & (F.col("r.run_c") == F.col("f.c")) & (F.col("r.run_d") == F.col("f.d"))
+    hits = found.select(*key, *[f"run_{k}" for k in CONTENT], "s").alias("r").join(flagged.alias("f"), same)
+    placed = F.transform("f.spans", lambda x: F.struct((F.col("r.s") + x["a"]).alias("a"), (F.col("r.s") + x["b"]).alias("b")))
+    return hits.select(*[F.col(f"r.{k}").alias(k) for k in key], placed.alias("spans"))
+
+
 def repeated_starts(texts: DataFrame, key: list[str], level: int = 0) -> DataFrame:
     """Of rows with a key of longs, n (how many equal texts it stands for) and text (string or binary): key and spans, ranges [a, b) of the starts of repeated strings, a row for each run that has any."""
     schema = ", ".join(f"{k} long" for k in [*key, "n", "run_h", "run_c", "run_d"]) + ", s int, more int, off int"
@@ -285,19 +430,11 @@ def repeated_starts(texts: DataFrame, key: list[str], level: int = 0) -> DataFra
     # any run of a content may stand for it: all have the same bytes
     contents = found.groupBy(*[F.col(f"run_{k}").alias(k) for k in CONTENT]).agg(F.sum("n").alias("n"), *one, *[F.first(k).alias(k) for k in ("s", "more", "off")])
     contents = stash(contents, "contents")
-    shared = contents.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    wanted = contents.join(shared, "h").withColumn("big", F.col("m") > GROUP)
-    ask = F.collect_list(F.struct(*CONTENT, F.least("n", F.lit(2).cast("long")).alias("n"), "s", "more", "off")).alias("wants")
-    asked = stash(wanted.groupBy(*[F.col(f"own_{k}").alias(k) for k in key], "big").agg(ask), "asked")
-    near, _ = split_by(texts, F.xxhash64(*key), asked.select(F.xxhash64(*key).alias("k")))
-    with_text = asked.alias("a").join(near.alias("t"), _same(key, "a", "t")).select("t.text", "a.wants", "a.big")
-    segment = "h long, c long, d long, n long, off int, text binary"
-    small = mapped(with_text.where("not big").select("text", "wants"), cut_out, segment)
+    small, large = _segments(texts, key, contents)
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     flagged = mapped(small.repartition(n, "h").sortWithinPartitions(*CONTENT), sort_buckets, f"h long, c long, d long, spans {SPANS}")
     flagged = flagged.unionByName(contents.where("n > 1").select(*CONTENT, F.array(F.struct(F.lit(0).alias("a"), (F.col("more") + 1).alias("b"))).alias("spans")))
-    if not asked.where("big").isEmpty():
-        large = stash(mapped(with_text.where("big").select("text", "wants"), cut_out, segment).dropDuplicates(CONTENT), "large")
+    if large is not None:
         if level < LEVELS:
             deeper = repeated_starts(large, CONTENT, level + 1)
         else:
@@ -305,11 +442,7 @@ def repeated_starts(texts: DataFrame, key: list[str], level: int = 0) -> DataFra
             twice = each.groupBy("x", "y").agg(F.sum("n").alias("t")).where("t > 1").drop("t")
             deeper = each.join(twice, ["x", "y"]).select(*CONTENT, F.array(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))).alias("spans"))
         flagged = flagged.unionByName(stash(deeper, "deeper"))  # else the plans of all levels are one
-    flagged = flagged.groupBy(*CONTENT).agg(F.expr(MAXIMAL).alias("spans"))
-    same = (F.col("r.run_h") == F.col("f.h")) & (F.col("r.run_c") == F.col("f.c")) & (F.col("r.run_d") == F.col("f.d"))
-    hits = found.select(*key, *[f"run_{k}" for k in CONTENT], "s").alias("r").join(flagged.alias("f"), same)
-    placed = F.transform("f.spans", lambda x: F.struct((F.col("r.s") + x["a"]).alias("a"), (F.col("r.s") + x["b"]).alias("b")))
-    return hits.select(*[F.col(f"r.{k}").alias(k) for k in key], placed.alias("spans"))
+    return _places(found, flagged, key)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -320,15 +453,39 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return stash(starts.groupBy("doc_id", "th").agg(F.flatten(F.collect_set(bytes_)).alias("spans")), "spans")
 
 
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """Of docs with doc_id, th and text: doc_id, th and words, the ranges [a, b) of words that repeated passages cover, for rows that have any."""
+    key = ["doc_id", "th"]
+    texts = docs.select(*key, "text")
+    schema = ", ".join(f"{k} long" for k in [*key, "run_h", "run_c", "run_d"]) + ", s int, more int, at int, size int"
+    found = stash(mapped(texts.where(F.octet_length("text") >= 2 * WORDS - 1), find_passages(key), schema), "passages")
+    contents = found.groupBy(*[F.col(f"run_{k}").alias(k) for k in CONTENT]).agg(F.count("*").alias("n"), F.first("more").alias("last"), F.first(F.struct(*key, "at", "size")).alias("own"))
+    # cut_out takes bytes
+    bytes_ = [F.col("own.at").alias("s"), (F.col("own.size") - LENGTH).alias("more"), F.lit(0).alias("off")]
+    contents = stash(contents.select(*CONTENT, "n", "last", *[F.col(f"own.{k}").alias(f"own_{k}") for k in key], *bytes_), "passage_contents")
+    small, large = _segments(texts, key, contents)
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flagged = mapped(small.select(*CONTENT, "n", "text").repartition(n, "h").sortWithinPartitions(*CONTENT), count_passages, f"h long, c long, d long, spans {SPANS}")
+    flagged = flagged.unionByName(contents.where("n > 1").select(*CONTENT, F.array(F.struct(F.lit(0).alias("a"), (F.col("last") + 1).alias("b"))).alias("spans")))
+    if large is not None:
+        each = stash(mapped(large.select(*CONTENT, "n", "text"), hash_passages, "h long, c long, d long, n long, x long, y long, k int"), "each")
+        twice = each.groupBy("x", "y").agg(F.sum("n").alias("t")).where("t > 1").drop("t")
+        flagged = flagged.unionByName(each.join(twice, ["x", "y"]).select(*CONTENT, F.array(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))).alias("spans")))
+    words = F.transform("spans", lambda x: F.struct(x["a"].alias("a"), (x["b"] - 1 + WORDS).alias("b")))
+    return stash(_places(found, flagged, key).groupBy(*key).agg(F.flatten(F.collect_set(words)).alias("words")), "words")
+
+
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kept (bytes) and cuts (maximal removed ranges) of rows of doc_id, text and spans."""
+    """kept (bytes) and cuts (maximal removed ranges) of rows of doc_id, text, spans of bytes and, if there are, words (spans of words)."""
     for whole in batches:
         for batch in byte_parts(whole, 4 * BATCH):
             kept, cuts = [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            words = batch.column("words").to_pylist() if "words" in batch.schema.names else [None] * batch.num_rows
+            for text, spans, own in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), words, strict=True):
                 raw = (text or "").encode()
                 merged: list[list[int]] = []
-                for a, b in sorted((x["a"], x["b"]) for x in spans or ()):
+                place = [m.span() for m in WORD.finditer(raw)] if own else []
+                for a, b in sorted([(x["a"], x["b"]) for x in spans or ()] + [(place[x["a"]][0], place[x["b"] - 1][1]) for x in own or ()]):
                     if merged and a <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], b)
                     else:
@@ -342,13 +499,18 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(cuts, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["doc_id", "kept", "cuts"])
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """All rows of docs, whose columns go into one struct ``row``, with their spans (null if nothing repeats)."""
+def _with_spans(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """All rows of docs, whose columns go into one struct ``row``, with their spans (null if nothing repeats) and, if passages are asked for, their words."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.xxhash64("text").alias("th"))
-    spans = repeated_spans(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    spans, names = repeated_spans(texts), ["spans"]
+    if passages:
+        names.append("words")
+        both = spans.unionByName(repeated_passages(texts), allowMissingColumns=True)
+        spans = stash(both.groupBy("doc_id", "th").agg(*[F.first(n, ignorenulls=True).alias(n) for n in names]), "both")
     near, rest = split_by(rows, F.xxhash64("doc_id", "th"), spans.select(F.xxhash64("doc_id", "th").alias("k")))
-    both = near.alias("d").join(spans.alias("s"), _same(["doc_id", "th"], "d", "s"), "left").select("d.row", "s.spans")
-    return both.unionByName(rest.select("row", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
+    both = near.alias("d").join(spans.alias("s"), _same(["doc_id", "th"], "d", "s"), "left").select("d.row", *[f"s.{n}" for n in names])
+    return both.unionByName(rest.select("row", *[F.lit(None).cast(spans.schema[n].dataType).alias(n) for n in names]))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -358,18 +520,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """docs with the repeated strings cut from text; a character that is cut in its middle goes whole. Columns stay, whatever their names; null texts stay null."""
+    """docs with the strings of 400 bytes and the passages of WORDS words that repeat cut from text; a character that is cut in its middle goes whole. Columns stay, whatever their names; null texts stay null."""
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             row = whole.column("row")
-            own = pa.RecordBatch.from_arrays([row.field("doc_id"), row.field("text"), whole.column("spans")], ["doc_id", "text", "spans"])
+            own = pa.RecordBatch.from_arrays([row.field("doc_id"), row.field("text"), whole.column("spans"), whole.column("words")], ["doc_id", "text", "spans", "words"])
             kept = [x for part in remove(iter([own])) for x in part.column("kept").to_pylist()]
             texts = [None if t is None else k.decode("utf-8", "ignore") for k, t in zip(kept, own.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else row.field(n) for n in names], names)
 
-    return mapped(_with_spans(docs), cut, docs.schema)
+    return mapped(_with_spans(docs, True), cut, docs.schema)
 
 
 def report(removed: DataFrame) -> DataFrame:

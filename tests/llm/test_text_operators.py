@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -78,6 +79,61 @@ def test_repeats(docs, empty, group, monkeypatch):
         assert repeats.remove_repeats(empty).count() == 0
 
 
+def brute_clean(texts):
+    """What stays of each text without the bytes of repeated strings and the words, from first to last, of repeated passages."""
+    raw, seen, passages = [(t or "").encode() for t in texts], {}, {}
+    words = [[m.span() for m in re.finditer(rb"[^ \t-\r]+", r)] for r in raw]
+    for i, r in enumerate(raw):
+        for k in range(len(r) - 399):
+            seen.setdefault(r[k : k + 400], []).append((i, k, k + 400))
+        own = [r[a:b] for a, b in words[i]]
+        for k in range(len(own) - 49):
+            passages.setdefault(tuple(own[k : k + 50]), []).append((i, words[i][k][0], words[i][k + 49][1]))
+    gone = [bytearray(len(r)) for r in raw]
+    for places in [*seen.values(), *passages.values()]:
+        for i, a, b in places if len(places) > 1 else ():
+            gone[i][a:b] = b"\1" * (b - a)
+    return [None if t is None else bytes(x for x, g in zip(r, own, strict=True) if not g).decode("utf-8", "ignore") for t, r, own in zip(texts, raw, gone, strict=True)]
+
+
+@pytest.mark.parametrize("group", [repeats.GROUP, 1])
+def test_passages_shorter_than_400_bytes(spark, docs, group, monkeypatch):
+    """Passages of over 50 words and under 400 bytes, also in other white space, and those of 49 words, which stay."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    own = random.Random(11)
+    short = lambda n: [own.choice("ab cd ef gh ij kl mn op qr st uv wx yz oo ee".split()) + str(own.randint(0, 9)) for _ in range(n)]
+    one, two, few, twin = short(55), short(51), short(49), short(70)
+    near = [*twin[:60], "other", *twin[61:]]
+    parts = [one, one, one, two, two, few, few, twin, near, ["x"] * 60, [], short(200) + one, one + one, [*two, "a" * 450], ["b" * 450, *two]]
+    texts = [" ".join(short(30)) + " " + " ".join(p) + "\n" + " ".join(short(40)) for p in parts]
+    texts[1], texts[4] = texts[1].replace(" ", "\n"), texts[4].replace(" ", " \t")
+    texts += [texts[8], " ".join(one), *(" ".join(two) + e for e in ("", "\n", " é")), *TEXTS]
+    df = spark.createDataFrame([(None if i == 2 else i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, row int")
+    df = df.union(df.where("row = 3")).repartition(3)  # one row twice
+    want = brute_clean([*texts, texts[3]])
+    assert len(" ".join(one).encode()) < 400 and " ".join(one) not in want[0] and " ".join(few) in want[5]
+    assert sorted((r.row, r.text) for r in repeats.clean(df).collect() if r.text is not None) == sorted((i, t) for i, t in [*enumerate(want[:-1]), (3, want[-1])] if t is not None)
+
+
+def test_long_texts_and_words_in_parts(monkeypatch):
+    """Runs of passages do not depend on how texts are cut into batches and parts."""
+    import pyarrow as pa
+
+    own = random.Random(3)
+    texts = [" ".join(own.choice(WORDS) for _ in range(n)) for n in (3000, 49, 50, 51, 0, 700)] + ["é" * 5000 + " x" * 80]
+    found = []
+    for size in (repeats.BATCH, 200):
+        monkeypatch.setattr(repeats, "BATCH", size)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["k", "text"])
+        starts = set()
+        for b in repeats.find_passages(["k"])(iter([batch])):
+            for k, s, more, at, size_ in zip(*(b.column(c).to_pylist() for c in ("k", "s", "more", "at", "size")), strict=True):
+                assert texts[k].encode()[at : at + size_].decode().split() == texts[k].split()[s : s + more + 50]
+                starts |= {(k, s + x) for x in range(more + 1)}
+        found.append(starts)
+    assert found[0] == found[1] == {(k, s) for k, t in enumerate(texts) for s in range(len(t.split()) - 49)}
+
+
 def test_difference_cover():
     assert {(a - b) % repeats.V for a in repeats.COVER for b in repeats.COVER} == set(range(repeats.V))
 
