@@ -15,9 +15,10 @@ those of the string. Neighbouring suffixes with one minimizer form a run, so a d
    another hash, which parts those that differ; what falls together again goes on so, LEVELS times. What then is left in one
    bucket, contents that differ in a few bytes only, is counted suffix by suffix, by BLAKE2b of the 400 bytes.
 
-Passages of WORDS words may be shorter than 400 bytes. ``clean`` also cuts those that stand elsewhere, whatever their bytes: the same cut
-into runs is made on the texts' words, by minimizers of grams of words, and the passages of contents that share a bucket are counted by
-128 bits of BLAKE2b; equal passages always have one minimizer, so a bucket is counted by itself, and one of over GROUP contents by all tasks.
+Passages of WORDS words may be shorter than 400 bytes. Those that stand elsewhere are found too, whatever their bytes (``clean`` cuts them,
+``remove_repeats`` tells where they are): the same cut into runs is made on the texts' words, by minimizers of grams of words, and the
+passages of contents that share a bucket are counted by 128 bits of BLAKE2b; equal passages always have one minimizer, so a bucket is
+counted by itself, and one of over GROUP contents by all tasks.
 
 Repeated suffixes go back to their documents, which drop each byte they cover. Strings never cross documents.
 Null texts are empty, texts under 400 bytes lose nothing; an empty table gives an empty table. Equal rows, too, are documents
@@ -475,48 +476,65 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return stash(_places(found, flagged, key).groupBy(*key).agg(F.flatten(F.collect_set(words)).alias("words")), "words")
 
 
+def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Maximal ranges of what ranges [a, b) cover."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def without(raw: bytes, cuts: list[list[int]]) -> bytes:
+    at, out = 0, []
+    for a, b in cuts:
+        out.append(raw[at:a])
+        at = b
+    return b"".join([*out, raw[at:]]) if cuts else raw
+
+
+def marked(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[list[int]], list[list[int]]]]:
+    """Of rows of text, spans (of bytes) and words (spans of words): the text's bytes, and the maximal ranges of bytes that repeated strings and that repeated passages cover."""
+    for text, spans, words in zip(*(batch.column(k).to_pylist() for k in ("text", "spans", "words")), strict=True):
+        raw = (text or "").encode()
+        place = [m.span() for m in WORD.finditer(raw)] if words else []
+        yield raw, merged([(x["a"], x["b"]) for x in spans or ()]), merged([(place[x["a"]][0], place[x["b"] - 1][1]) for x in words or ()])
+
+
+CUTS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kept (bytes) and cuts (maximal removed ranges) of rows of doc_id, text, spans of bytes and, if there are, words (spans of words)."""
+    """kept (bytes), cuts (maximal removed ranges) and passages (maximal ranges of repeated passages, which stay) of rows of doc_id, text, spans of bytes and words (spans of words)."""
     for whole in batches:
         for batch in byte_parts(whole, 4 * BATCH):
-            kept, cuts = [], []
-            words = batch.column("words").to_pylist() if "words" in batch.schema.names else [None] * batch.num_rows
-            for text, spans, own in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), words, strict=True):
-                raw = (text or "").encode()
-                merged: list[list[int]] = []
-                place = [m.span() for m in WORD.finditer(raw)] if own else []
-                for a, b in sorted([(x["a"], x["b"]) for x in spans or ()] + [(place[x["a"]][0], place[x["b"] - 1][1]) for x in own or ()]):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                at, out = 0, []
-                for a, b in merged:
-                    out.append(raw[at:a])
-                    at = b
-                kept.append(b"".join([*out, raw[at:]]) if merged else raw)
-                cuts.append([{"a": a, "b": b} for a, b in merged])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(cuts, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["doc_id", "kept", "cuts"])
-
-
-def _with_spans(docs: DataFrame, passages: bool = False) -> DataFrame:
-    """All rows of docs, whose columns go into one struct ``row``, with their spans (null if nothing repeats) and, if passages are asked for, their words."""
+            kept, cuts, passages = [], [], []
+            for raw, own, words in marked(batch):
+                kept.append(without(raw, own))
+                cuts.append([{"a": a, "b": b} for a, b in own])
+                passages.append([{"a": a, "b": b} for a, b in words])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(cuts, CUTS), pa.array(passages, CUTS)], ["doc_id", "kept", "cuts", "passages"])
+
+
+def _with_spans(docs: DataFrame) -> DataFrame:
+    """All rows of docs, whose columns go into one struct ``row``, with their spans of bytes and of words (null if nothing repeats)."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.xxhash64("text").alias("th"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    spans, names = repeated_spans(texts), ["spans"]
-    if passages:
-        names.append("words")
-        both = spans.unionByName(repeated_passages(texts), allowMissingColumns=True)
-        spans = stash(both.groupBy("doc_id", "th").agg(*[F.first(n, ignorenulls=True).alias(n) for n in names]), "both")
+    names = ["spans", "words"]
+    both = repeated_spans(texts).unionByName(repeated_passages(texts), allowMissingColumns=True)
+    spans = stash(both.groupBy("doc_id", "th").agg(*[F.first(n, ignorenulls=True).alias(n) for n in names]), "both")
     near, rest = split_by(rows, F.xxhash64("doc_id", "th"), spans.select(F.xxhash64("doc_id", "th").alias("k")))
     both = near.alias("d").join(spans.alias("s"), _same(["doc_id", "th"], "d", "s"), "left").select("d.row", *[f"s.{n}" for n in names])
     return both.unionByName(rest.select("row", *[F.lit(None).cast(spans.schema[n].dataType).alias(n) for n in names]))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, kept (the bytes that stay) and cuts (ranges removed) of every row."""
-    both = _with_spans(docs.select("doc_id", "text")).select("row.doc_id", "row.text", "spans")
-    return mapped(both, remove, "doc_id long, kept binary, cuts array<struct<a:long,b:long>>")
+    """doc_id, kept (the bytes that stay), cuts (ranges of repeated strings, removed) and passages (ranges of repeated passages of WORDS words, which stay unless a string covers them) of every row."""
+    both = _with_spans(docs.select("doc_id", "text")).select("row.doc_id", "row.text", "spans", "words")
+    spans = "array<struct<a:long,b:long>>"
+    return mapped(both, remove, f"doc_id long, kept binary, cuts {spans}, passages {spans}")
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -526,17 +544,19 @@ def clean(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             row = whole.column("row")
-            own = pa.RecordBatch.from_arrays([row.field("doc_id"), row.field("text"), whole.column("spans"), whole.column("words")], ["doc_id", "text", "spans", "words"])
-            kept = [x for part in remove(iter([own])) for x in part.column("kept").to_pylist()]
+            own = pa.RecordBatch.from_arrays([row.field("text"), whole.column("spans"), whole.column("words")], ["text", "spans", "words"])
+            kept = [without(raw, merged([*cuts, *words])) for part in byte_parts(own, 4 * BATCH) for raw, cuts, words in marked(part)]
             texts = [None if t is None else k.decode("utf-8", "ignore") for k, t in zip(kept, own.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else row.field(n) for n in names], names)
 
-    return mapped(_with_spans(docs, True), cut, docs.schema)
+    return mapped(_with_spans(docs), cut, docs.schema)
 
 
 def report(removed: DataFrame) -> DataFrame:
-    gone = F.aggregate("cuts", F.lit(0).cast("long"), lambda t, x: t + x["b"] - x["a"])
-    return removed.select("doc_id", (F.octet_length("kept") + gone).cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("cuts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    size = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda t, x: t + x["b"] - x["a"])
+    gone = size("cuts")
+    figures = [(F.octet_length("kept") + gone).cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("cuts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")]
+    return removed.select("doc_id", *figures, F.size("passages").cast("long").alias("n_passages"), size("passages").alias("n_passage_bytes"))
 
 
 def brute_force(texts: list[str | None]) -> list[tuple[int, int, int, str]]:

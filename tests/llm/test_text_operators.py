@@ -115,6 +115,32 @@ def test_passages_shorter_than_400_bytes(spark, docs, group, monkeypatch):
     assert sorted((r.row, r.text) for r in repeats.clean(df).collect() if r.text is not None) == sorted((i, t) for i, t in [*enumerate(want[:-1]), (3, want[-1])] if t is not None)
 
 
+@pytest.mark.parametrize("group", [repeats.GROUP, 1])
+def test_repeated_passages_are_reported(spark, group, monkeypatch):
+    """op2's rows tell repeated passages that no 400-byte string covers; its figures of strings do not change by them."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    own = random.Random(12)
+    words = lambda n: [own.choice("ab cd ef gh é".split()) + str(own.randint(0, 99)) for _ in range(n)]
+    one, two, few = words(55), words(50), words(49)
+    parts = [one, one, few, few, [*two, *words(9), *one], two, words(60), [*one, *one]]
+    texts = [" ".join([*words(30), *p, *words(30)]) for p in parts] + [" \n".join(one), PASSAGE, PASSAGE, "", None, "x " * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    raw, seen = [(t or "").encode() for t in texts], {}
+    places = [[m.span() for m in re.finditer(rb"[^ \t-\r]+", r)] for r in raw]
+    for i, own_places in enumerate(places):
+        for k in range(len(own_places) - 49):
+            seen.setdefault(tuple(raw[i][a:b] for a, b in own_places[k : k + 50]), []).append((i, own_places[k][0], own_places[k + 49][1]))
+    hit = [bytearray(len(r)) for r in raw]
+    for found in seen.values():
+        for i, a, b in found if len(found) > 1 else ():
+            hit[i][a:b] = b"\1" * (b - a)
+    want = {i: (*figures, len(re.findall(rb"\x01+", h)), sum(h)) for i, (figures, h) in enumerate(zip(repeats.brute_force(texts), hit, strict=True))}
+    assert want[0][1] == 0 and want[0][4:] == (1, len(" ".join(one).encode())) and want[2][4:] == (0, 0) and want[4][4] == 2
+    got = repeats.report(repeats.remove_repeats(df))
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"]
+    assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == want
+
+
 def test_long_texts_and_words_in_parts(monkeypatch):
     """Runs of passages do not depend on how texts are cut into batches and parts."""
     import pyarrow as pa
